@@ -12,7 +12,7 @@ import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _OWN_DIR: list[str] = []
@@ -65,3 +65,23 @@ def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
     """
     cores = spark.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
+def number_within(df: DataFrame, group: str, order: list[str], blocks: int, out: str) -> DataFrame:
+    """``df`` with a gapless long ``out`` from 0 within each value of ``group``, whatever the group's size.
+
+    A group is split into ``blocks`` blocks by a hash of ``order``; rows are ranked
+    inside their block and shifted by the number of rows in the blocks before. So a
+    group that holds a third of all rows is still many small tasks, and the counts
+    that move are one row a group and block.
+    """
+    rows = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    counts = rows.groupBy(group, "_block").count()
+    before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
+    shift = counts.select(
+        F.col(group).alias("_g"), F.col("_block").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
+    )
+    inside = Window.partitionBy(group, "_block").orderBy(*order)
+    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
+    joined = ranked.join(shift, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
+    return joined.withColumn(out, (F.col("_before") + F.col("_rank")).cast("long")).drop("_g", "_b", "_before", "_rank", "_block")

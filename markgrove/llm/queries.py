@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import fingerprints, secrets, sharding
+from . import bpe, fingerprints, packing, secrets, sharding, token_counts
 from .common import spread, table
 
 
+def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(spread(spark, docs), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+
+
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
@@ -17,11 +24,25 @@ def op4_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.fingerprint_documents(docs).drop("containment_in_edited")
 
 
-def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(spread(spark, docs), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+
+
+def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return secrets.secret_digest(spread(spark, docs))
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    decoded = bpe.bpe_decode(bpe.bpe_encode(spread(spark, docs), path), path)
+    return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
-QUERIES = {f.__name__: f for f in (op2_jump_sharding, op4_scaled_fingerprints, op9_entropy_secrets)}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_token_counts, op2_jump_sharding, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op9_entropy_secrets)
+}
 
 ORACLE_SQL: dict[str, str] = {}

@@ -16,10 +16,10 @@ rows; columns of the input beyond key and text are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
+from .common import number_within, text_or_empty
 
 #: Multiplier of the generator in the published algorithm.
 JUMP_MULTIPLIER = 2862933555777941757
@@ -92,21 +92,6 @@ def shard_documents(docs: DataFrame, shards: int = 16, key: str = "doc_id", text
         jump_hash(F.col(key), shards + 1).alias("grown_shard"),
     )
     blocks = max(1, docs.count() // (shards * SLOT_BLOCK_ROWS) + 1) * 4
-    # repeated keys spread too: the block also takes the row's content
-    rows = rows.withColumn("_block", F.pmod(F.xxhash64(F.col(key), "text_crc32", "size"), F.lit(blocks)).cast("int"))
-    counts = rows.groupBy("shard", "_block").count()
-    before = Window.partitionBy("shard").orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.select(
-        F.col("shard").alias("_s"), F.col("_block").alias("_b"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_before")
-    )
-    inside = Window.partitionBy("shard", "_block").orderBy(F.col(key), "text_crc32", "size")
-    ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
-    return ranked.join(offsets, (F.col("shard") == F.col("_s")) & (F.col("_block") == F.col("_b"))).select(
-        key,
-        "size",
-        "text_crc32",
-        F.lit("key").alias("law"),
-        "shard",
-        (F.col("_before") + F.col("_rank")).cast("long").alias("slot"),
-        "grown_shard",
-    )
+    # equal keys spread too: the block also takes the row's content
+    rows = number_within(rows, "shard", [key, "text_crc32", "size"], blocks, "slot")
+    return rows.select(key, "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")

@@ -184,7 +184,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, key: st
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     first_key, copies, first_sequence, first_offset = _places(plan_sequences(histogram, capacity))
     blocks = max(1, max(histogram.values(), default=0) // BLOCK_ROWS + 1) * 4
-    ranked = number_within(pieces, "length", [key, "piece", "ids_crc32", "start"], blocks, "_rank")
+    ranked = number_within(pieces, "length", [key, "piece", "ids_crc32", "start"], blocks, "nth")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -197,5 +197,5 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, key: st
             columns = [batch.column(i) for i in range(5)] + [pa.array(sequence, pa.int64()), pa.array(offset, pa.int64())]
             yield pa.RecordBatch.from_arrays(columns, names=[key, "piece", "start", "length", "ids_crc32", "sequence_id", "offset"])
 
-    columns = [key, "piece", "start", "length", "ids_crc32", "_rank"]
+    columns = [key, "piece", "start", "length", "ids_crc32", "nth"]
     return ranked.select(*columns).mapInArrow(place, f"`{key}` long, piece int, start long, length long, ids_crc32 long, sequence_id long, `offset` long")

@@ -11,7 +11,10 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -85,3 +88,16 @@ def number_within(df: DataFrame, group: str, order: list[str], blocks: int, out:
     ranked = rows.withColumn("_rank", F.row_number().over(inside) - 1)
     joined = ranked.join(shift, (F.col(group) == F.col("_g")) & (F.col("_block") == F.col("_b")))
     return joined.withColumn(out, (F.col("_before") + F.col("_rank")).cast("long")).drop("_g", "_b", "_before", "_rank", "_block")
+
+
+def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in consecutive parts, without copying, of about ``size`` bytes of a string ``column``; a longer text stands alone."""
+    lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()
+    begin, held = 0, 0
+    for i, n in enumerate(lengths):
+        if i > begin and held + n > size:
+            yield batch.slice(begin, i - begin)
+            begin, held = i, 0
+        held += n
+    if begin < len(lengths):
+        yield batch.slice(begin)

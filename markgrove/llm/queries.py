@@ -6,8 +6,8 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, secrets, sharding, token_counts
-from .common import spread, table
+from . import bpe, fingerprints, packing, quality, secrets, sharding, token_counts, warc
+from .common import fresh_path, spread, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -36,13 +36,33 @@ def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    uri = fresh_path(spark, "warc")
+    warc.write_warc(table(spark, sf_dir, "pages").select("page_id", "url", "html"), uri)
+    return warc.read_warc(spark, uri).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return quality.resample(spread(spark, docs), table(spark, sf_dir, "labels"))
+
+
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_jump_sharding, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op9_entropy_secrets)
+    for f in (op1_token_counts, op2_jump_sharding, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op7_warc_round_trip, op8_importance_resampling, op9_entropy_secrets)
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc_round_trip": """
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha1(coalesce(html, '')) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY coalesce(html, '')) AS last
+              FROM pages)
+    """,
+}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, packing, quality, secrets, sharding, token_counts, warc
+from . import bpe, fingerprints, near_dedup, packing, quality, secrets, sharding, token_counts, warc
 from .common import fresh_path, spread, table
 
 
@@ -51,9 +51,14 @@ def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.secret_digest(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return near_dedup.near_duplicates(spread(spark, docs), words=3, percent=85)
+
+
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_jump_sharding, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op7_warc_round_trip, op8_importance_resampling, op9_entropy_secrets)
+    for f in (op1_token_counts, op2_jump_sharding, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op7_warc_round_trip, op8_importance_resampling, op9_entropy_secrets, op10_tensored_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {

@@ -77,10 +77,10 @@ def shingle_sets(column: pa.Array, k: int) -> list[np.ndarray]:
         if b - a >= k:
             out.append(np.unique(rolled[a : b - k + 1]))
         elif b > a:
-            whole = np.uint64(b - a)
-            for w in words[a:b]:
-                whole = mix(np.array([whole * _BASE + w], dtype=np.uint64))[0]
-            out.append(np.array([whole], dtype=np.uint64))
+            whole = np.array([b - a], dtype=np.uint64)
+            for i in range(a, b):
+                whole = mix(whole * _BASE + words[i : i + 1])
+            out.append(whole)
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     return out

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, fingerprints, near_dedup, packing, quality, secrets, sharding, token_counts, warc
+from . import ann, bpe, fingerprints, near_dedup, packing, quality, secrets, sharding, token_counts, warc
 from .common import fresh_path, spread, table
 
 
@@ -19,6 +19,11 @@ def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard_documents(table(spark, sf_dir, "documents"), shards=16)
 
 
+def op3_multiprobe_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return ann.nearest(vectors, F.col("vec_id") % 20 == 0, k=20)
+
+
 def op4_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return fingerprints.fingerprint_documents(docs).drop("containment_in_edited")
@@ -58,7 +63,7 @@ def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_token_counts, op2_jump_sharding, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op7_warc_round_trip, op8_importance_resampling, op9_entropy_secrets, op10_tensored_minhash)
+    for f in (op1_token_counts, op2_jump_sharding, op3_multiprobe_neighbours, op4_scaled_fingerprints, op5_best_fit_packing, op6_bpe_round_trip, op7_warc_round_trip, op8_importance_resampling, op9_entropy_secrets, op10_tensored_minhash)
 }
 
 ORACLE_SQL: dict[str, str] = {

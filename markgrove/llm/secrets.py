@@ -170,3 +170,10 @@ def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataF
     clean = F.when(F.size("all_spans") == 0, F.col(text)).otherwise(F.aggregate("all_spans", zero, step, rest))
     found = found.withColumn(text, clean).drop("base_spans", "all_spans")
     return found.withColumnRenamed("_kept_base", "base_spans").withColumnRenamed("_kept_all", "all_spans")
+
+
+def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
+    """``docs`` with secrets masked; ``length`` counts the new text's code points (null for a null text); columns as they were."""
+    masked = redact(docs, text)
+    new = F.length(text).cast(docs.schema[length].dataType)
+    return masked.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(new)).select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -30,11 +30,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-CACHE_LIMIT = 300_000
+from .common import slices
+
+CACHE_LIMIT = 200_000
 #: Slices of more characters than this are merged by a heap.
 LONG_PIECE = 400
-#: Code points scanned at a time, and in one block of the scan.
-BATCH_CHARS, BLOCK = 1 << 20, 64
+#: Bytes of text scanned at a time, about, and code points in one block of the scan.
+BATCH_BYTES, BLOCK = 1 << 19, 64
 
 _LETTER, _NUMBER, _OTHER, _APO2, _APO3, _SPACE_IN, _SPACE_LAST, _BLANK_LAST = range(8)
 _FREE, _IN_L, _IN_N, _IN_O, _IN_W, _ABSORBED, _ONE_MORE, _TWO_MORE = range(8)
@@ -222,19 +224,6 @@ def pair_merger(path: str) -> PairMerger:
     return _MERGERS[path]
 
 
-def _runs(texts: list[str]) -> Iterator[list[str]]:
-    """Consecutive texts of about BATCH_CHARS together; a longer text stands alone."""
-    run, size = [], 0
-    for t in texts:
-        if run and size + len(t) > BATCH_CHARS:
-            yield run
-            run, size = [], 0
-        run.append(t)
-        size += len(t)
-    if run:
-        yield run
-
-
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
     """``docs`` with ``text`` replaced by ``ids`` (packed) and ``n_tokens``; ``offsets``: array of the pre-tokens' code-point offsets."""
     keep = [c for c in docs.columns if c not in (text, ids, "n_tokens", offsets)]
@@ -243,13 +232,12 @@ def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = pair_merger(path)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, b.num_columns - 1, BATCH_BYTES)):
             packed, starts = [], []
-            for texts in _runs([t.as_py() or "" for t in batch.column(batch.num_columns - 1)]):
-                for tokens, where in pre_tokenise(texts):
-                    packed.append(b"".join(merger.packed(tokens)))
-                    if offsets:
-                        starts.append(where)
+            for tokens, where in pre_tokenise([t.as_py() or "" for t in batch.column(batch.num_columns - 1)]):
+                packed.append(b"".join(merger.packed(tokens)))
+                if offsets:
+                    starts.append(where)
             columns = [batch.column(i) for i in range(batch.num_columns - 1)]
             columns += [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
             columns += [pa.array(starts, pa.list_(pa.int64()))] if offsets else []
@@ -265,7 +253,7 @@ def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = pair_merger(path)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, b.num_columns - 1, BATCH_BYTES)):
             packed = batch.column(batch.num_columns - 1)
             decoded = [merger.decode(p.as_py() or b"") for p in packed]
             columns = [batch.column(i) for i in range(batch.num_columns)] + [pa.array(decoded, pa.binary())]

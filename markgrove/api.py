@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from .plans.ast import Expr
 from .plans.compiler import Compiler, is_nodes
 from .plans.parser import parse_xpath
-from .sources.shred import NODE_COLUMNS, NODE_FIELDS, shred
+from .sources.shred import NODE_COLUMNS, NODE_FIELDS, register_table_function, shred
 
 log = logging.getLogger("markgrove")
 
@@ -175,3 +175,9 @@ def to_json_documents(results: DataFrame, key: str = "doc_id") -> DataFrame:
     fields = [c for c in results.columns if c != key]
     grouped = results.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))).alias("results"))
     return grouped.select(key, F.to_json(F.struct("results", F.size("results").alias("count"), F.lit(None).cast("string").alias("error"))).alias("json"))
+
+
+def register_table(spark: SparkSession, docs: DataFrame, name: str) -> None:
+    """Make ``docs`` a view and ``html_nodes`` a table function, for ``FROM name d, LATERAL html_nodes(d.html) n``."""
+    register_table_function(spark)
+    docs.createOrReplaceTempView(name)

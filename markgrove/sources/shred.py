@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..deploy import ship_package
 from .markup import ELEMENT, parse
 
 _INTS = ("pre", "parent", "depth", "last", "sib", "name_pos", "name_cnt", "start", "end", "content_start", "content_end")
@@ -86,6 +87,7 @@ def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS) -> dict[str
 
 def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLUMNS) -> DataFrame:
     """The node table of ``docs``: ``doc`` (the key) and the columns in ``needs``. Null and blank documents have no nodes."""
+    ship_package(docs.sparkSession)
     fields = [f for f in NODE_FIELDS if f.name in set(needs)]
     names = [f.name for f in fields]
     key_field = T.StructField("doc", docs.schema[key].dataType)
@@ -124,6 +126,7 @@ class HtmlNodes:
 
 def register_table_function(spark: SparkSession, name: str = "html_nodes") -> None:
     """Register the shredder for use in SQL as a lateral table function."""
+    ship_package(spark)
     spark.udtf.register(name, F.udtf(HtmlNodes, returnType=T.StructType(list(NODE_FIELDS))))
 
 

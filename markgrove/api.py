@@ -173,7 +173,8 @@ def slice_source(html: str, start: str = "start_location", end: str = "end_locat
 def to_json_documents(results: DataFrame, key: str = "doc_id") -> DataFrame:
     """One JSON object per document: results in order, their count, and no error."""
     fields = [c for c in results.columns if c != key]
-    grouped = results.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))).alias("results"))
+    rows = F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))
+    grouped = results.groupBy(key).agg(F.array_sort(rows, lambda a, b: a["ord"] - b["ord"]).alias("results"))
     return grouped.select(key, F.to_json(F.struct("results", F.size("results").alias("count"), F.lit(None).cast("string").alias("error"))).alias("json"))
 
 

@@ -247,4 +247,5 @@ def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HAL
     extra = settle(near_duplicates(docs, words, percent, half, tables, key, text).where(~F.col("kept")).select(F.col(key).alias("_id")), "extra")
     if extra.count() <= BROADCAST_ROWS:
         extra = F.broadcast(extra)
-    return docs.join(extra, docs[key] == F.col("_id"), "left_anti")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("_own"))
+    return rows.join(extra, F.col("_own") == F.col("_id"), "left_anti").select("row.*")

@@ -168,23 +168,22 @@ def _gumbel(key: str, text: str) -> Column:
 
 
 def score(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "text", carry: bool = False) -> DataFrame:
-    """The key with ``_log_weight`` and ``_key`` (with noise); ``carry`` keeps every column of ``docs`` too."""
-    columns = docs.columns if carry else [key]
-    rows = docs.select(*[F.col(f"`{c}`") for c in columns], F.col(text).alias("_text"), _gumbel(key, text).alias("_noise"), F.col(key).cast("long").alias("_id"))
-    rows = rows.join(F.broadcast(models.sample), "_id", "left")
-    rows = rows.select(*[F.col(f"`{c}`") for c in columns], "_text", "_noise", F.coalesce("_target", F.lit(False)).alias("_target"))
+    """``row`` (a struct of the key, with ``carry`` of every column of ``docs``), ``_log_weight`` and ``_key`` (with noise)."""
+    # the row travels as one struct, so no name of its columns can clash
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(F.col(key))
+    rows = docs.select(row.alias("row"), F.col(text).alias("_text"), _gumbel(key, text).alias("_noise"), F.col(key).cast("long").alias("_id"))
+    rows = rows.join(F.broadcast(models.sample), "_id", "left").select("row", "_text", "_noise", F.coalesce("_target", F.lit(False)).alias("_target"))
+    fields = [rows.schema["row"], T.StructField("_log_weight", T.DoubleType()), T.StructField("_key", T.DoubleType())]
     counts = Models(models.raw, models.target, None)
-    fields = [docs.schema[c] for c in columns] + [T.StructField("_log_weight", T.DoubleType()), T.StructField("_key", T.DoubleType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            k = batch.num_columns - 3
-            flags = batch.column(k + 2).to_numpy(zero_copy_only=False)
+            flags = batch.column(3).to_numpy(zero_copy_only=False)
             weight = np.zeros(batch.num_rows)
-            for at, texts in _runs(batch.column(k)):
+            for at, texts in _runs(batch.column(1)):
                 weight[at : at + len(texts)] = counts.log_weights(texts, flags[at : at + len(texts)])
-            noisy = weight + batch.column(k + 1).to_numpy(zero_copy_only=False)
-            yield pa.RecordBatch.from_arrays([*(batch.column(i) for i in range(k)), pa.array(weight), pa.array(noisy)], names=[f.name for f in fields])
+            noisy = weight + batch.column(2).to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(noisy)], names=[f.name for f in fields])
 
     return rows.mapInArrow(run, T.StructType(fields))
 
@@ -196,18 +195,19 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> flo
         return None
     k = min(k, n)
     while low < high:
-        width = (high - low) / bins
-        if low + width == low:
-            break
         rows = scores.where(F.col(column).between(low, high))
-        at = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
-        found = rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
-        for r in sorted(found.collect(), key=lambda r: -r["bin"]):  # `bins` rows at most
+        width = (high - low) / bins
+        if low + width == low:  # too few doubles between them for bins: every value is its own
+            found = rows.groupBy(F.col(column).alias("high")).agg(F.count("*").alias("n"), F.min(column).alias("low"))
+        else:
+            at = F.least(F.floor((F.col(column) - F.lit(low)) / F.lit(width)), F.lit(bins - 1))
+            found = rows.groupBy(at.alias("bin")).agg(F.count("*").alias("n"), F.min(column).alias("low"), F.max(column).alias("high"))
+        for r in sorted(found.collect(), key=lambda r: -r["high"]):  # about `bins` rows at most
             if k <= r["n"]:
                 low, high = r["low"], r["high"]
                 break
             k -= r["n"]
-    return high if low == high else scores.where(F.col(column).between(low, high)).agg(F.min(column)).first()[0]
+    return high
 
 
 def threshold(scores: DataFrame, k: int | None = None, floor: float = FLOOR) -> float:
@@ -221,11 +221,11 @@ def threshold(scores: DataFrame, k: int | None = None, floor: float = FLOOR) ->
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
     """The kept documents: key, log_weight and key with noise."""
     scores = settle(score(docs, fit(docs, labels, key, text), key, text), "scores")
-    return scores.where(F.col("_key") >= threshold(scores, k)).select(key, F.col("_log_weight").alias("log_weight"), F.col("_key").alias("noisy_log_weight"))
+    return scores.where(F.col("_key") >= threshold(scores, k)).select(f"row.{key}", F.col("_log_weight").alias("log_weight"), F.col("_key").alias("noisy_log_weight"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:
     """``docs`` without the rejected rows, columns as they were. Texts are scored again rather than joined: nothing moves."""
     models = fit(docs, labels, key, text)
     least = threshold(settle(score(docs, models, key, text), "scores"), k)
-    return score(docs, models, key, text, carry=True).where(F.col("_key") >= least).select(*[F.col(f"`{c}`") for c in docs.columns])
+    return score(docs, models, key, text, carry=True).where(F.col("_key") >= least).select("row.*")

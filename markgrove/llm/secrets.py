@@ -157,23 +157,23 @@ def secret_digest(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     )
 
 
-def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]") -> DataFrame:
-    """``docs`` with every span of ``text`` replaced by ``mask``; overlapping spans are replaced as one. A null text stays null."""
-    found = scan_secrets(docs.withColumnRenamed("base_spans", "_kept_base").withColumnRenamed("all_spans", "_kept_all"), text)
+def redact(docs: DataFrame, text: str = "text", mask: str = "[secret]", length: str | None = None) -> DataFrame:
+    """``docs`` with every span of ``text`` replaced by ``mask``, columns as they were; overlapping spans are replaced as one.
+
+    ``length`` names a column that then counts the new text's code points. A null text stays null, and its length as it was.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(text).alias("text"))
+    found = scan_secrets(rows, "text")
     zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
 
     def step(acc: Column, s: Column) -> Column:
-        gap = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
+        gap = F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, s["start"] - acc["at"]), F.lit(mask))
         return F.struct(F.when(s["start"] >= acc["at"], gap).otherwise(acc["out"]).alias("out"), F.greatest(acc["at"], s["end"]).alias("at"))
 
-    rest = lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text)))
-    clean = F.when(F.size("all_spans") == 0, F.col(text)).otherwise(F.aggregate("all_spans", zero, step, rest))
-    found = found.withColumn(text, clean).drop("base_spans", "all_spans")
-    return found.withColumnRenamed("_kept_base", "base_spans").withColumnRenamed("_kept_all", "all_spans")
-
-
-def mask_documents(docs: DataFrame, text: str = "text", length: str = "n_chars") -> DataFrame:
-    """``docs`` with secrets masked; ``length`` counts the new text's code points (null for a null text); columns as they were."""
-    masked = redact(docs, text)
-    new = F.length(text).cast(docs.schema[length].dataType)
-    return masked.withColumn(length, F.when(F.col(text).isNull(), F.col(length)).otherwise(new)).select(*[F.col(f"`{c}`") for c in docs.columns])
+    rest = lambda acc: F.concat(acc["out"], F.substring(F.col("text"), acc["at"] + 1, F.length("text")))
+    found = found.withColumn("clean", F.when(F.size("all_spans") == 0, F.col("text")).otherwise(F.aggregate("all_spans", zero, step, rest)))
+    new = {text: F.col("clean")}
+    if length:
+        old = F.col("row")[length]
+        new[length] = F.when(F.col("text").isNull(), old).otherwise(F.length("clean").cast(docs.schema[length].dataType))
+    return found.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])

@@ -39,12 +39,12 @@ class NodeTable:
         self.df.unpersist()
 
 
-def shred_documents(docs: DataFrame, key: str = "doc_id", html: str = "html", columns: Iterable[str] = NODE_COLUMNS) -> NodeTable:
+def shred_documents(docs: DataFrame, key: str = "doc_id", html: str = "html", columns: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> NodeTable:
     """The node table of ``docs``, persisted; reads of it with the session's co-partitioning setting need no further exchange."""
     spark = docs.sparkSession
     # joins on (document, x) then reuse the partitioning by document
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    nodes = shred(docs, key, html, columns)
+    nodes = shred(docs, key, html, columns, wanted)
     return NodeTable(nodes.repartition(F.col("doc")).persist(), columns)
 
 
@@ -56,15 +56,17 @@ class XPath:
         self.tree: Expr = parse_xpath(expression)
         log.debug("%s -> %s", expression, self.tree)
 
-    def needs(self, columns: Iterable[str], contents_only: bool, output: str, include_location: bool) -> tuple[set[str], int]:
-        """The node columns that the plan reads, and how often it reads the table: found on an empty table."""
+    def needs(self, columns: Iterable[str], contents_only: bool, output: str, include_location: bool) -> tuple[set[str], frozenset[str] | None, int]:
+        """The node columns and node tests that the plan reads, and how often it reads the table: found on an empty table."""
         spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
         fields = [T.StructField("doc", T.LongType()), *NODE_FIELDS]
         compiler = Compiler(spark.createDataFrame([], T.StructType(fields)), self.profile)
         plan = self._plan(compiler, columns, contents_only, output, include_location)
         text = plan._jdf.queryExecution().optimizedPlan().toString()
+        # a leaf shows all columns of the table, the nodes above it those that are used
+        text = "\n".join(line for line in text.splitlines() if "LogicalRDD" not in line)
         found = {c for c in NODE_COLUMNS if f"{c}#" in text}
-        return found | {"pre", "parent", "kind"}, compiler.uses
+        return found | {"pre", "parent", "kind"}, None if compiler.wanted is None else frozenset(compiler.wanted), compiler.uses
 
     def _plan(self, compiler: Compiler, columns: Iterable[str], contents_only: bool, output: str, include_location: bool) -> DataFrame:
         if is_nodes(self.tree):
@@ -84,8 +86,8 @@ class XPath:
         if isinstance(docs, NodeTable):
             nodes = docs.df
         else:
-            needs, uses = self.needs(columns, contents_only, output, include_location)
-            nodes = shred(docs, key, html, needs) if uses == 1 else shred_documents(docs, key, html, needs).df
+            needs, wanted, uses = self.needs(columns, contents_only, output, include_location)
+            nodes = shred(docs, key, html, needs, wanted) if uses == 1 else shred_documents(docs, key, html, needs, wanted).df
             missing = [f for f in NODE_FIELDS if f.name not in needs]
             nodes = nodes.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else nodes
         result = self._plan(Compiler(nodes, self.profile), columns, contents_only, output, include_location)

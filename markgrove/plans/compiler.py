@@ -45,12 +45,27 @@ class Compiler:
         if profile not in PROFILES:
             raise ValueError(f"profile must be one of {PROFILES}")
         self._nodes, self.profile, self.uses, self._names = nodes, profile, 0, count()
+        #: Node tests that cover all rows the plan reads; None once it reads any node.
+        self.wanted: set[str] | None = set()
 
-    @property
-    def nodes(self) -> DataFrame:
+    def scan(self, test: str) -> DataFrame:
+        """The node table, of which only nodes that ``test`` matches will be read (``@x``: elements with that attribute)."""
         self.uses += 1
+        if test == "node()":
+            self.wanted = None
+        elif self.wanted is not None:
+            self.wanted.add("processing-instruction()" if test.startswith("processing-instruction(") else test)
         return self._nodes
 
+    @staticmethod
+    def _read_by(step: Step, anywhere: bool) -> str:
+        """What a step reads of the node table: its test, or any node as a context."""
+        if step.axis == "attribute":
+            return "*" if step.test in ("*", "node()") else f"@{step.test}"
+        if anywhere and step.axis not in ("child", "descendant", "descendant-or-self", "self"):
+            return "node()"
+        return step.test
+
     def fresh(self, stem: str) -> str:
         return f"_{stem}{next(self._names)}"
 
@@ -85,9 +100,9 @@ class Compiler:
             if steps and steps[0] == ANYWHERE:
                 steps, df = steps[1:], None
                 if not steps:
-                    return self.nodes.withColumn("c", F.col("pre")), False
+                    return self.scan("node()").withColumn("c", F.col("pre")), False
             else:
-                df = self.nodes.where("parent IS NULL").withColumn("c", F.col("pre"))
+                df = self.scan("#document").where("parent IS NULL").withColumn("c", F.col("pre"))
         elif path.start == "here":
             df = origins
         else:
@@ -103,7 +118,7 @@ class Compiler:
         positional = any(map(is_positional, step.predicates))
         if attributes:
             return self._step_from_attribute(context, step, carry)
-        found = take_axis(self.nodes, context, step.axis, step.test, carry, positional, self.profile)
+        found = take_axis(self.scan(self._read_by(step, context is None)), context, step.axis, step.test, carry, positional, self.profile)
         df = found.df
         group = ["doc", "c", *(["o"] if carry else [])]
         for p in step.predicates:
@@ -112,7 +127,7 @@ class Compiler:
             # keys first, then the rows again: no wide column goes through the aggregate
             key = ["doc", "pre", *(["o"] if carry else [])]
             keys = df.select(*key).distinct()
-            wide = self.nodes
+            wide = self.scan(step.test)
             on = (F.col("doc") == F.col("_kd")) & (F.col("pre") == F.col("_kp"))
             keys = keys.select(F.col("doc").alias("_kd"), F.col("pre").alias("_kp"), *(["o"] if carry else []))
             df = (wide.join(keys, on).drop("_kd", "_kp") if carry else wide.join(keys, on, "left_semi")).withColumn("c", F.col("pre"))
@@ -128,7 +143,7 @@ class Compiler:
         up = {"parent": "self", "ancestor": "ancestor-or-self"}.get(step.axis)
         keys = context.select(F.col("doc").alias("_kd"), F.col("pre").alias("_kp"), *(["o"] if carry else [])).distinct()
         on = (F.col("doc") == F.col("_kd")) & (F.col("pre") == F.col("_kp"))
-        elements = self.nodes.join(keys, on).drop("_kd", "_kp")
+        elements = self.scan("*").join(keys, on).drop("_kd", "_kp")
         if up is None:
             elements, up = elements.where(F.lit(False)), "self"
         return self.step(elements, Step(up, step.test, step.predicates), carry, False)
@@ -337,7 +352,7 @@ class Compiler:
 
     def scalar(self, e: Expr) -> tuple[DataFrame, Column]:
         """One row per document and the string of the value of ``e``."""
-        documents = self.nodes.where("parent IS NULL").withColumn("c", F.col("pre"))
+        documents = self.scan("#document").where("parent IS NULL").withColumn("c", F.col("pre"))
         df, v = self.value(documents, e, False)
         return df, V.as_string(v)
 

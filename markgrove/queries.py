@@ -225,6 +225,7 @@ _orders("xpath_position_or_value", "//order[position()=1 or @total<1000]", f"{_R
 _orders("xpath_relative_start", "order[@status!='O']", "orders WHERE o_orderstatus <> 'O'")
 _customers("xpath_child_exists", "//customer[order]", "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _customers("xpath_child_absent", "//customer[not(order)]", "NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_customers("xpath_filtered_child_absent", "//customer[not(order[@status='P'])]", "NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 _customers("xpath_nested_predicate", "//customer[order[@status='F']]", "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _customers("xpath_count_compare", "//customer[count(order)>10]", "(SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 10")
 _customers("xpath_count_filtered", "//customer[count(order[@status='F'])>=5]", "(SELECT count(*) FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F') >= 5")

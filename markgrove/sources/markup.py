@@ -37,53 +37,35 @@ _RESYNC = re.compile(rb"[<>]")
 _RAW_END = {name: re.compile(rb"</" + name.encode() + rb"(?=[> \t\n\r])", re.I) for name in RAW_TEXT}
 
 
-class Nodes:
-    """The nodes of one document, column by column, in pre-order; node 0 is the document."""
+#: A node's fields, in this order; ``last`` is its last descendant, ``text_from``/``text_to`` delimit an element's text in the joined chunks.
+FIELDS = ("kind", "name", "parent", "depth", "start", "end", "content_start", "content_end", "value", "attributes", "text_from", "text_to", "last")
+_END, _CONTENT_END, _TEXT_FROM, _TEXT_TO, _LAST = (FIELDS.index(f) for f in ("end", "content_end", "text_from", "text_to", "last"))
 
-    __slots__ = ("attributes", "content_end", "content_start", "depth", "end", "kind", "last", "name", "parent", "start", "text", "text_from", "text_to", "value")
 
-    def __init__(self) -> None:
-        for column in self.__slots__:
-            setattr(self, column, [])
-        self.text = []
-
-
-def parse(source: bytes) -> Nodes:
-    """All nodes of ``source``. ``text_from``/``text_to`` delimit an element's text in the joined ``text`` chunks."""
-    nodes = Nodes()
+def parse(source: bytes) -> tuple[list[list], list[bytes]]:
+    """All nodes of ``source`` in pre-order, the document first, and the chunks of its text."""
+    rows: list[list] = []
+    chunks: list[bytes] = []
     n = len(source)
     size = 0  # length of the joined text so far
     stack: list[int] = []
     names: list[bytes] = []
 
-    def add(kind: int, name: str, start: int, end: int, value: bytes = b"", attributes: dict[str, str] | None = None) -> int:
-        index = len(nodes.kind)
-        nodes.kind.append(kind)
-        nodes.name.append(name)
-        nodes.parent.append(stack[-1] if stack else None)
-        nodes.depth.append(len(stack))
-        nodes.start.append(start)
-        nodes.end.append(end)
-        nodes.content_start.append(0)
-        nodes.content_end.append(0)
-        nodes.value.append(value)
-        nodes.attributes.append(attributes)
-        nodes.text_from.append(size)
-        nodes.text_to.append(size)
-        nodes.last.append(index)
+    def add(kind: int, name: str, start: int, end: int, value: bytes = b"", attributes: dict[str, str] | None = None, content: int = 0) -> int:
+        index = len(rows)
+        rows.append([kind, name, stack[-1] if stack else None, len(stack), start, end, content, content, value, attributes, size, size, index])
         return index
 
     def say(chunk: bytes) -> None:
         nonlocal size
-        nodes.text.append(chunk)
+        chunks.append(chunk)
         size += len(chunk)
 
     def close(end: int) -> None:
         index = stack.pop()
         names.pop()
-        nodes.end[index] = end
-        nodes.text_to[index] = size
-        nodes.last[index] = len(nodes.kind) - 1
+        row = rows[index]
+        row[_END], row[_TEXT_TO], row[_LAST] = end, size, len(rows) - 1
 
     stack.append(add(DOCUMENT, "#document", 0, n))
     names.append(b"")
@@ -109,7 +91,7 @@ def parse(source: bytes) -> Nodes:
                 continue
             found = _NAME.match(source, at + 2)
             closing = found.group() if found else b""
-            nodes.content_end[stack[-1]] = at
+            rows[stack[-1]][_CONTENT_END] = at
             end = source.find(b">", at + 2 + len(closing))
             at = n if end < 0 else end + 1
             if closing.lower() == names[-1]:
@@ -166,8 +148,7 @@ def parse(source: bytes) -> Nodes:
         at_content = bad + 1
         tag = found.group().lower()
         name = tag.decode()
-        index = add(ELEMENT, name, at, at_content, b"", attributes)
-        nodes.content_start[index] = nodes.content_end[index] = at_content
+        index = add(ELEMENT, name, at, at_content, b"", attributes, at_content)
         if closed or name in VOID:
             at = at_content
         elif name in RAW_TEXT:
@@ -178,7 +159,7 @@ def parse(source: bytes) -> Nodes:
             if content_end > at_content:
                 add(TEXT, "#text", at_content, content_end, source[at_content:content_end])
                 say(source[at_content:content_end])
-            nodes.content_end[index] = content_end
+            rows[index][_CONTENT_END] = content_end
             end = source.find(b">", content_end) if stop else -1
             at = n if end < 0 else end + 1
             close(at)
@@ -188,5 +169,5 @@ def parse(source: bytes) -> Nodes:
             at = at_content
     while stack:
         close(n)
-    nodes.text_to[0] = nodes.text_from[0] = 0
-    return nodes
+    rows[0][_TEXT_FROM] = rows[0][_TEXT_TO] = 0
+    return rows, chunks

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship_package
-from .markup import ELEMENT, parse
+from .markup import COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT, parse
 
 _INTS = ("pre", "parent", "depth", "last", "sib", "name_pos", "name_cnt", "start", "end", "content_start", "content_end")
 #: Columns of the node table after the document's key.
@@ -35,58 +35,85 @@ _ARROW = {
     T.IntegerType(): pa.int32(), T.ByteType(): pa.int8(), T.StringType(): pa.string(), T.MapType(T.StringType(), T.StringType()): pa.map_(pa.string(), pa.string()),
     T.ArrayType(T.StringType()): pa.list_(pa.string()), T.ArrayType(T.IntegerType()): pa.list_(pa.int32()),
 }
+_TEST_KINDS = {"*": ELEMENT, "text()": TEXT, "comment()": COMMENT, "processing-instruction()": INSTRUCTION, "#document": DOCUMENT}
 #: Nodes that one Arrow batch holds, about.
 BATCH_NODES = 20_000
 
 
-def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS) -> dict[str, list]:
-    """The node table's columns, of those in ``needs``, for one document."""
+def _kept(kinds: tuple, names: tuple, attributes: tuple, wanted: frozenset[str]) -> list[int]:
+    """The nodes that one of the node tests in ``wanted`` can match; ``@x`` stands for elements with that attribute."""
+    by_kind = {_TEST_KINDS[t] for t in wanted if t in _TEST_KINDS}
+    if ELEMENT in by_kind:
+        return [i for i, k in enumerate(kinds) if k in by_kind]
+    held = [t[1:] for t in wanted if t[0] == "@"]
+    if held:
+        return [i for i, (k, n, a) in enumerate(zip(kinds, names, attributes, strict=True)) if k in by_kind or (k == ELEMENT and (n in wanted or any(h in a for h in held)))]
+    return [i for i, (k, n) in enumerate(zip(kinds, names, strict=True)) if k in by_kind or (n in wanted and k == ELEMENT)]
+
+
+def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> dict[str, list]:
+    """The node table's columns, of those in ``needs``, for one document; of all nodes, or of those that ``wanted`` tests match."""
     needs = set(needs)
     source = html.encode("utf-8", "surrogatepass")
-    nodes = parse(source)
-    count = len(nodes.kind)
-    out: dict[str, list] = {
-        "pre": list(range(count)), "parent": nodes.parent, "depth": nodes.depth, "last": nodes.last, "kind": nodes.kind, "name": nodes.name,
-        "start": nodes.start, "end": nodes.end, "content_start": nodes.content_start, "content_end": nodes.content_end,
+    rows, chunks = parse(source)
+    count = len(rows)
+    kind, name, parents, depth, start, end, content_start, content_end, value, attributes, text_from, text_to, last = zip(*rows, strict=True)
+    keep = range(count) if wanted is None else _kept(kind, name, attributes, wanted)
+    every = wanted is None or len(keep) == count
+    pick = list if every else (lambda column: [column[i] for i in keep])
+    plain = {
+        "parent": parents, "depth": depth, "last": last, "kind": kind, "name": name,
+        "start": start, "end": end, "content_start": content_start, "content_end": content_end,
     }
+    out: dict[str, list] = {"pre": list(keep)} | {c: pick(plain[c]) for c in plain.keys() & needs}
     if needs & {"sib", "name_pos", "name_cnt", "path"}:
         children, same = [0] * count, {}
         sib, position, keys = [0] * count, [1] * count, [None] * count
         for i in range(1, count):
-            parent = nodes.parent[i]
+            parent = parents[i]
             sib[i] = children[parent]
             children[parent] += 1
-            keys[i] = (parent, nodes.name[i])
+            keys[i] = (parent, name[i])
             position[i] = same[keys[i]] = same.get(keys[i], 0) + 1
-        out["sib"], out["name_pos"], out["name_cnt"] = sib, position, [same.get(k, 1) for k in keys]
+        out |= {"sib": pick(sib), "name_pos": pick(position), "name_cnt": [same.get(keys[i], 1) for i in keep]}
         if "path" in needs:
             paths = ["/#document"]
             for i in range(1, count):
                 step = f"[{position[i]}]" if same[keys[i]] > 1 else ""
-                paths.append(f"{paths[nodes.parent[i]]}/{nodes.name[i]}{step}")
-            out["path"] = paths
+                paths.append(f"{paths[parents[i]]}/{name[i]}{step}")
+            out["path"] = pick(paths)
     if "anc" in needs:
         ancestors: list[list[int]] = [[]]
         for i in range(1, count):
-            parent = nodes.parent[i]
-            ancestors.append([*ancestors[parent], parent])
-        out["anc"] = ancestors
-    if needs & {"text", "node_value"}:
-        values = [v.decode("utf-8", "replace") for v in nodes.value]
-        out["node_value"] = values
-        joined = b"".join(nodes.text)
-        out["text"] = [joined[a:b].decode("utf-8", "replace") if k == ELEMENT else v for k, v, a, b in zip(nodes.kind, values, nodes.text_from, nodes.text_to, strict=True)]
+            ancestors.append([*ancestors[parents[i]], parents[i]])
+        out["anc"] = pick(ancestors)
+    if "node_value" in needs:
+        out["node_value"] = [value[i].decode("utf-8", "replace") for i in keep]
+    if "text" in needs:
+        joined = b"".join(chunks)
+        out["text"] = [(joined[text_from[i] : text_to[i]] if kind[i] == ELEMENT else value[i]).decode("utf-8", "replace") for i in keep]
     if "attrs" in needs:
-        out["attrs"] = [list(a.items()) if a is not None else None for a in nodes.attributes]
+        out["attrs"] = [None if attributes[i] is None else list(attributes[i].items()) for i in keep]
     if "attr_order" in needs:
-        out["attr_order"] = [list(a) if a is not None else None for a in nodes.attributes]
+        out["attr_order"] = [None if attributes[i] is None else list(attributes[i]) for i in keep]
     if "source" in needs:
-        out["source"] = [source[a:b].decode("utf-8", "replace") for a, b in zip(nodes.start, nodes.end, strict=True)]
+        out["source"] = [source[start[i] : end[i]].decode("utf-8", "replace") for i in keep]
     return out
 
 
-def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLUMNS) -> DataFrame:
-    """The node table of ``docs``: ``doc`` (the key) and the columns in ``needs``. Null and blank documents have no nodes."""
+def spread(docs: DataFrame) -> DataFrame:
+    """``docs`` over all cores where its files make fewer partitions: a few small ones. Larger inputs stay where they are."""
+    if docs.isStreaming:
+        return docs
+    cores = docs.sparkSession.sparkContext.defaultParallelism
+    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
+
+
+def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> DataFrame:
+    """The node table of ``docs``: ``doc`` (the key) and the columns in ``needs``. Null and blank documents have no nodes.
+
+    ``wanted`` are node tests; nodes that none of them matches are dropped where they are parsed.
+    """
     ship_package(docs.sparkSession)
     fields = [f for f in NODE_FIELDS if f.name in set(needs)]
     names = [f.name for f in fields]
@@ -97,7 +124,7 @@ def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLU
         for batch in batches:
             begin, counts, columns = 0, [], {c: [] for c in names}
             for i, text in enumerate(batch.column(1)):
-                found = document_columns(text.as_py(), names)
+                found = document_columns(text.as_py(), names, wanted)
                 counts.append(len(found["pre"]))
                 for c in names:
                     columns[c].extend(found[c])
@@ -109,7 +136,7 @@ def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLU
                     begin, counts, columns = i + 1, [], {c: [] for c in names}
 
     real = docs.where(F.col(key).isNotNull() & (F.trim(F.col(html), F.lit(" \t\r\n")) != ""))
-    return real.select(F.col(key).alias("doc"), F.col(html)).mapInArrow(run, T.StructType([key_field, *fields]))
+    return spread(real.select(F.col(key).alias("doc"), F.col(html))).mapInArrow(run, T.StructType([key_field, *fields]))
 
 
 class HtmlNodes:

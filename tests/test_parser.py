@@ -3,7 +3,7 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from markgrove.sources.markup import parse
+from markgrove.sources.markup import FIELDS, parse
 from markgrove.sources.shred import document_columns
 
 
@@ -86,8 +86,20 @@ def test_nul_and_deep_nesting():
 @given(st.text(alphabet="<>/!-?=\"' ab\n世\0[]", max_size=60))
 def test_always_ends_with_nested_spans(html):
     source = html.encode()
-    nodes = parse(source)
-    for i in range(1, len(nodes.kind)):
-        p = nodes.parent[i]
-        assert 0 <= p < i and nodes.start[p] <= nodes.start[i] <= nodes.end[i] <= nodes.end[p] <= len(source)
-        assert nodes.last[i] <= nodes.last[p]
+    rows, chunks = parse(source)
+    columns = dict(zip(FIELDS, zip(*rows, strict=True), strict=True))
+    for i in range(1, len(rows)):
+        p = columns["parent"][i]
+        assert 0 <= p < i and columns["start"][p] <= columns["start"][i] <= columns["end"][i] <= columns["end"][p] <= len(source)
+        assert columns["last"][i] <= columns["last"][p]
+    assert max(columns["text_to"]) <= sum(map(len, chunks))
+
+
+def test_unwanted_nodes_are_dropped_after_numbering():
+    html = "<u><li a='1'>x</li>t<!--c--><b/><li/></u>"
+    whole = document_columns(html)
+    for wanted, names in ((frozenset(["li"]), ["li", "li"]), (frozenset(["@a", "b"]), ["li", "b"]), (frozenset(["*"]), ["u", "li", "b", "li"]), (frozenset(["text()", "#document"]), ["#document", "#text", "#text"])):
+        some = document_columns(html, wanted=wanted)
+        assert some["name"] == names
+        for column, values in some.items():
+            assert list(values) == [whole[column][i] for i in some["pre"]], column

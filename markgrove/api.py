@@ -172,12 +172,22 @@ def slice_source(html: str, start: str = "start_location", end: str = "end_locat
     return F.make_valid_utf8(F.substring(source, F.col(start) + 1, F.col(end) - F.col(start)).cast("string"))
 
 
-def to_json_documents(results: DataFrame, key: str = "doc_id") -> DataFrame:
-    """One JSON object per document: results in order, their count, and no error."""
+def to_json_documents(results: DataFrame, key: str = "doc_id", docs: DataFrame | None = None, html: str = "html") -> DataFrame:
+    """One JSON object per document: results in order, their count, and an error or null.
+
+    With ``docs``, documents without matches and those that cannot be queried have their object too.
+    """
     fields = [c for c in results.columns if c != key]
     rows = F.collect_list(F.struct("ord", *[c for c in fields if c != "ord"]))
     grouped = results.groupBy(key).agg(F.array_sort(rows, lambda a, b: a["ord"] - b["ord"]).alias("results"))
-    return grouped.select(key, F.to_json(F.struct("results", F.size("results").alias("count"), F.lit(None).cast("string").alias("error"))).alias("json"))
+    error = F.lit(None).cast("string")
+    if docs is not None:
+        every = docs.where(F.col(key).isNotNull()).select(key).distinct()
+        grouped = every.join(grouped, key, "left").join(errors(docs, key, html).distinct(), key, "left")
+        empty = F.array().cast(results.select(F.array(F.struct("ord", *[c for c in fields if c != "ord"])).alias("x")).schema["x"].dataType)
+        grouped, error = grouped.withColumn("results", F.coalesce("results", empty)), F.col("error")
+    body = F.struct("results", F.size("results").alias("count"), error.alias("error"))
+    return grouped.select(key, F.to_json(body, {"ignoreNullFields": "false"}).alias("json"))
 
 
 def register_table(spark: SparkSession, docs: DataFrame, name: str) -> None:

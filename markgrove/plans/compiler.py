@@ -179,10 +179,11 @@ class Compiler:
     def where(self, df: DataFrame, e: Expr, attributes: bool = False) -> DataFrame:
         """Conjunctions one by one; existence as a semi join, its negation as an anti join."""
         columns = df.columns
+        e = self._as_spec(e)
         if isinstance(e, Binary) and e.op == "and":
             return self.where(self.where(df, e.left, attributes), e.right, attributes)
         negated = isinstance(e, Call) and e.name == "not"
-        inner = e.args[0] if negated else e
+        inner = self._as_spec(e.args[0]) if negated else e
         if is_nodes(inner) and self._local(inner, attributes) is None and not attributes:
             found = self.related(df, inner)
             right, on = self._keys(found, inner)
@@ -191,6 +192,7 @@ class Compiler:
         return df.where(condition).select(*columns)
 
     def boolean(self, df: DataFrame, e: Expr, attributes: bool) -> tuple[DataFrame, Column]:
+        e = self._as_spec(e)
         if isinstance(e, Binary) and e.op in ("and", "or"):
             df, left = self.boolean(df, e.left, attributes)
             df, right = self.boolean(df, e.right, attributes)
@@ -205,7 +207,29 @@ class Compiler:
 
     # -- values
 
+    def _as_spec(self, e: Expr) -> Expr:
+        """In the xpath1 profile: bare text() and node() are child steps, and comparing a node-set with a constant asks for any node."""
+        if self.profile != "xpath1":
+            return e
+        if e in (Call("text"), Call("node")):
+            return Path("here", (Step("child", f"{e.name}()"),))
+        if isinstance(e, Binary) and e.op in _COMPARISONS:
+            left, right, op = self._as_spec(e.left), self._as_spec(e.right), e.op
+            if isinstance(left, (Literal, Number)) and isinstance(right, Path):
+                left, right, op = right, left, {"<": ">", ">": "<", "<=": ">=", ">=": "<="}.get(op, op)
+            if isinstance(left, Path) and left.steps and left.steps[-1].axis != "self" and isinstance(right, (Literal, Number)):
+                *steps, last = left.steps
+                test = Binary(op, Path("here", (Step("self", "node()"),)), right)
+                return Path(left.start, (*steps, Step(last.axis, last.test, (*last.predicates, test))))
+        return e
+
     def value(self, df: DataFrame, e: Expr, attributes: bool) -> tuple[DataFrame, Value]:
+        spec = self._as_spec(e)
+        if spec is not e:
+            if isinstance(e, Binary):
+                df, condition = self.boolean(df, spec, attributes)
+                return df, Value("bool", condition)
+            e = spec
         if isinstance(e, Literal):
             return df, Value("str", F.lit(e.value))
         if isinstance(e, Number):

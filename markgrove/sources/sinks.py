@@ -13,6 +13,6 @@ def write_results(results: DataFrame, path: str, mode: str = "error") -> None:
     (writer.partitionBy("query_name") if "query_name" in results.columns else writer).parquet(path)
 
 
-def write_json(results: DataFrame, path: str, key: str = "doc_id", mode: str = "error") -> None:
-    """JSON lines ``{results, count, error}``, one per document that has matches."""
-    to_json_documents(results, key).select("json").write.mode(mode).text(path)
+def write_json(results: DataFrame, path: str, key: str = "doc_id", mode: str = "error", docs: DataFrame | None = None, html: str = "html") -> None:
+    """JSON lines ``{results, count, error}``, one per document that has matches; with ``docs``, one per document."""
+    to_json_documents(results, key, docs, html).select("json").write.mode(mode).text(path)

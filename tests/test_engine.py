@@ -89,6 +89,13 @@ def test_profiles_differ_where_documented(run):
     assert run("//p[string-length(text())=6]", "<p>世界</p>") == ["世界"]
     assert run("//p[string-length(text())=2]", "<p>世界</p>", profile="xpath1") == ["世界"]
     assert run("substring('世界', 1, 3)", "<a/>", "value") == ["世"]
+    texts = "<r><d><p>x</p></d></r>"
+    assert run("//d[contains(text(),'x')]", texts) == ["x"] and run("//d[contains(text(),'x')]", texts, profile="xpath1") == []
+    assert run("//p[text()='x']", texts, profile="xpath1") == ["x"] and run("//d[not(text())]", texts, profile="xpath1") == ["x"]
+    many = "<r><a><b>1</b><b>2</b></a><a k='1'/></r>"
+    assert run("//a[b='2']", many) == [] and run("//a[b='2']", many, profile="xpath1") == ["12"]
+    assert run("//a[2 <= b]", many, profile="xpath1") == ["12"] and run("//a[b!='1']", many, profile="xpath1") == ["12"]
+    assert run("//a[@k!='2']", many) == ["12", ""] and run("//a[@k!='2']", many, profile="xpath1") == [""]
     with pytest.raises(ValueError):
         run("//a", "<a/>", profile="other")
 
@@ -149,7 +156,10 @@ def test_source_slices_json_and_entities(spark):
     assert found.join(docs, "doc_id").select(slice_source("html").alias("s")).first()["s"] == "<b>&lt;界</b>"
     assert found.select(unescape_entities(F.col("text_content")).alias("t")).first()["t"] == "<界"
     out = json.loads(to_json_documents(found).first()["json"])
-    assert out["count"] == 1 and out["results"][0]["node_name"] == "b"
+    assert out["count"] == 1 and out["results"][0]["node_name"] == "b" and out["error"] is None
+    more = docs.unionByName(spark.createDataFrame([(2, "<x/>"), (3, " ")], docs.schema))
+    every = {r.doc_id: json.loads(r.json) for r in to_json_documents(query("//b", more), docs=more).collect()}
+    assert [every[i]["count"] for i in (1, 2, 3)] == [1, 0, 0] and every[2]["results"] == [] and every[2]["error"] is None and every[3]["error"]
 
 
 def test_sql_table_function(spark):

@@ -32,16 +32,43 @@ _NAME = re.compile(rb"[A-Za-z0-9_:-]+")
 _ATTRIBUTE = re.compile(
     _SPACE + rb"([A-Za-z0-9_:-]+)" + _SPACE + rb"(?:=" + _SPACE + rb"(?:\"([^\"]*)(?:\"|\Z)|'([^']*)(?:'|\Z)|((?:[^ \t\n\r>/]|/(?!>))*)))?"
 )
+#: A well-formed opening tag; possessive throughout, so that a malformed one fails at once.
+_TAG = re.compile(
+    rb"<([A-Za-z0-9_:-]++)((?:[ \t\n\r]*+[A-Za-z0-9_:-]++[ \t\n\r]*+(?:=[ \t\n\r]*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])(?:[^ \t\n\r>/]|/(?!>))*+))?+)*+)[ \t\n\r]*+(/?+)>"
+)
 _SPACES = re.compile(_SPACE)
 _RESYNC = re.compile(rb"[<>]")
 _RAW_END = {name: re.compile(rb"</" + name.encode() + rb"(?=[> \t\n\r])", re.I) for name in RAW_TEXT}
 
 
-#: A node's fields, in this order; ``last`` is its last descendant, ``text_from``/``text_to`` delimit an element's text in the joined chunks.
+#: A node's fields, in this order; ``attributes`` is an element's raw text of them (see ``read_attributes``); ``last`` is its last descendant, ``text_from``/``text_to`` delimit an element's text in the joined chunks.
 FIELDS = ("kind", "name", "parent", "depth", "start", "end", "content_start", "content_end", "value", "attributes", "text_from", "text_to", "last")
 _END, _CONTENT_END, _TEXT_FROM, _TEXT_TO, _LAST = (FIELDS.index(f) for f in ("end", "content_end", "text_from", "text_to", "last"))
 
 
+def read_attributes(raw: bytes) -> dict[str, str]:
+    """The attributes in the part of an opening tag after its name, in order; of repeated ones the last, at its place."""
+    found: dict[str, str] = {}
+    for item in _ATTRIBUTE.finditer(raw):
+        name, double, single, bare = item.groups()
+        key = name.decode().lower()
+        found.pop(key, None)
+        found[key] = (double or single or bare or b"").decode("utf-8", "replace")
+    return found
+
+
+def _failed_at(source: bytes, at: int, n: int) -> int:
+    """Where the malformed opening tag at ``at`` stops being one."""
+    found = _NAME.match(source, at + 1)
+    if not found:
+        return at + 1
+    bad = found.end()
+    while bad < n and (item := _ATTRIBUTE.match(source, bad)):
+        bad = item.end()
+    bad = _SPACES.match(source, bad).end()
+    return bad + (source[bad : bad + 1] == b"/")
+
+
 def parse(source: bytes) -> tuple[list[list], list[bytes]]:
     """All nodes of ``source`` in pre-order, the document first, and the chunks of its text."""
     rows: list[list] = []
@@ -51,7 +78,7 @@ def parse(source: bytes) -> tuple[list[list], list[bytes]]:
     stack: list[int] = []
     names: list[bytes] = []
 
-    def add(kind: int, name: str, start: int, end: int, value: bytes = b"", attributes: dict[str, str] | None = None, content: int = 0) -> int:
+    def add(kind: int, name: str, start: int, end: int, value: bytes = b"", attributes: bytes | None = None, content: int = 0) -> int:
         index = len(rows)
         rows.append([kind, name, stack[-1] if stack else None, len(stack), start, end, content, content, value, attributes, size, size, index])
         return index
@@ -79,9 +106,11 @@ def parse(source: bytes) -> tuple[list[list], list[bytes]]:
         if source[at] != 60:  # text up to the next "<"
             end = source.find(b"<", at)
             end = n if end < 0 else end
-            add(TEXT, "#text", at, end, source[at:end])
+            text = source[at:end]
+            rows.append([TEXT, "#text", stack[-1], len(stack), at, end, 0, 0, text, None, size, size, len(rows)])
             if inside:
-                say(source[at:end])
+                chunks.append(text)
+                size += end - at
             at = end
             continue
         mark = source[at + 1 : at + 2]
@@ -123,21 +152,9 @@ def parse(source: bytes) -> tuple[list[list], list[bytes]]:
             at = end
             continue
 
-        found = _NAME.match(source, at + 1)
-        bad, attributes, closed = at + 1, {}, False
-        if found:
-            bad = found.end()
-            while bad < n and (item := _ATTRIBUTE.match(source, bad)):
-                value = item.group(2) or item.group(3) or item.group(4) or b""
-                key = item.group(1).decode().lower()
-                attributes.pop(key, None)
-                attributes[key] = value.decode("utf-8", "replace")
-                bad = item.end()
-            bad = _SPACES.match(source, bad).end()
-            if source[bad : bad + 1] == b"/":
-                closed = True
-                bad += 1
-        if not found or source[bad : bad + 1] != b">":
+        tag_match = _TAG.match(source, at)
+        if tag_match is None:  # malformed: drop it, and resume where its reading failed
+            bad = _failed_at(source, at, n)
             if not inside:
                 at = bad + 1
             elif (next_mark := _RESYNC.search(source, bad)) is None:
@@ -145,8 +162,9 @@ def parse(source: bytes) -> tuple[list[list], list[bytes]]:
             else:
                 at = next_mark.start() + (next_mark.group() == b">")
             continue
-        at_content = bad + 1
-        tag = found.group().lower()
+        tag, attributes, closed = tag_match.groups()
+        tag = tag.lower()
+        at_content = tag_match.end()
         name = tag.decode()
         index = add(ELEMENT, name, at, at_content, b"", attributes, at_content)
         if closed or name in VOID:

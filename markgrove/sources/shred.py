@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..deploy import ship_package
-from .markup import COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT, parse
+from .markup import COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT, parse, read_attributes
 
 _INTS = ("pre", "parent", "depth", "last", "sib", "name_pos", "name_cnt", "start", "end", "content_start", "content_end")
 #: Columns of the node table after the document's key.
@@ -45,9 +45,10 @@ def _kept(kinds: tuple, names: tuple, attributes: tuple, wanted: frozenset[str])
     by_kind = {_TEST_KINDS[t] for t in wanted if t in _TEST_KINDS}
     if ELEMENT in by_kind:
         return [i for i, k in enumerate(kinds) if k in by_kind]
-    held = [t[1:] for t in wanted if t[0] == "@"]
+    held = frozenset(t[1:] for t in wanted if t[0] == "@")
     if held:
-        return [i for i, (k, n, a) in enumerate(zip(kinds, names, attributes, strict=True)) if k in by_kind or (k == ELEMENT and (n in wanted or any(h in a for h in held)))]
+        has = lambda raw: bool(raw) and not held.isdisjoint(read_attributes(raw))
+        return [i for i, (k, n, a) in enumerate(zip(kinds, names, attributes, strict=True)) if k in by_kind or (k == ELEMENT and (n in wanted or has(a)))]
     return [i for i, (k, n) in enumerate(zip(kinds, names, strict=True)) if k in by_kind or (n in wanted and k == ELEMENT)]
 
 
@@ -92,10 +93,12 @@ def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: fro
     if "text" in needs:
         joined = b"".join(chunks)
         out["text"] = [(joined[text_from[i] : text_to[i]] if kind[i] == ELEMENT else value[i]).decode("utf-8", "replace") for i in keep]
-    if "attrs" in needs:
-        out["attrs"] = [None if attributes[i] is None else list(attributes[i].items()) for i in keep]
-    if "attr_order" in needs:
-        out["attr_order"] = [None if attributes[i] is None else list(attributes[i]) for i in keep]
+    if needs & {"attrs", "attr_order"}:
+        read = [None if attributes[i] is None else read_attributes(attributes[i]) if attributes[i] else {} for i in keep]
+        if "attrs" in needs:
+            out["attrs"] = [None if a is None else list(a.items()) for a in read]
+        if "attr_order" in needs:
+            out["attr_order"] = [None if a is None else list(a) for a in read]
     if "source" in needs:
         out["source"] = [source[start[i] : end[i]].decode("utf-8", "replace") for i in keep]
     return out

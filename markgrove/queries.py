@@ -28,6 +28,12 @@ def _attribute(name: str, value: Column) -> Column:
     return F.concat(F.lit(f' {name}="'), value.cast("string"), F.lit('"'))
 
 
+def _by_key(df: DataFrame, key: str) -> DataFrame:
+    """Rows of a document together, in enough partitions for the parse that follows: grouping by ``key`` then moves nothing more."""
+    spark = df.sparkSession
+    return df.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))), key)
+
+
 def _joined(items: str) -> Column:
     """Child markup in key order, from a list of (key, markup)."""
     return F.array_join(F.transform(F.array_sort(F.collect_list(items)), lambda x: x["m"]), "")
@@ -41,7 +47,7 @@ def customer_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
         _attribute("total", F.col("o_totalprice").cast("decimal(15,2)")), F.lit("/>"),
     )
     lists = orders.select(F.col("o_custkey").alias("c_custkey"), F.struct(F.col("o_orderkey").alias("k"), order.alias("m")).alias("x"))
-    lists = lists.groupBy("c_custkey").agg(_joined("x").alias("inner"))
+    lists = _by_key(lists, "c_custkey").groupBy("c_custkey").agg(_joined("x").alias("inner"))
     customer = F.concat(
         F.lit("<customer"), _attribute("id", F.col("c_custkey")), _attribute("seg", F.col("c_mktsegment")), _attribute("nation", F.col("c_nationkey")), F.lit(">"),
         F.coalesce("inner", F.lit("")), F.lit("</customer>"),
@@ -53,7 +59,7 @@ def user_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One per user, with events by id."""
     event = F.concat(F.lit("<event"), _attribute("id", F.col("event_id")), _attribute("type", F.col("event_type")), F.lit("/>"))
     events = _table(spark, sf_dir, "events").select("user_id", F.struct(F.col("event_id").alias("k"), event.alias("m")).alias("x"))
-    inner = events.groupBy("user_id").agg(_joined("x").alias("inner"))
+    inner = _by_key(events, "user_id").groupBy("user_id").agg(_joined("x").alias("inner"))
     return inner.select("user_id", F.concat(F.lit("<user"), _attribute("id", F.col("user_id")), F.lit(">"), "inner", F.lit("</user>")).alias("html"))
 
 
@@ -62,7 +68,7 @@ def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.replace(F.coalesce("text", F.lit("")), F.lit("<"), F.lit("&lt;"))
     turn = F.concat(F.lit("<turn"), _attribute("n", F.col("turn")), _attribute("role", F.col("role")), F.lit(">"), text, F.lit("</turn>"))
     turns = _table(spark, sf_dir, "conversations").select("conv_id", F.struct(F.col("turn").alias("k"), turn.alias("m")).alias("x"))
-    inner = turns.groupBy("conv_id").agg(_joined("x").alias("inner"))
+    inner = _by_key(turns, "conv_id").groupBy("conv_id").agg(_joined("x").alias("inner"))
     return inner.select("conv_id", F.concat(F.lit("<conv>"), "inner", F.lit("</conv>")).alias("html"))
 
 
@@ -70,7 +76,7 @@ def region_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One per region: nations by key, in them customers by key."""
     cust = F.concat(F.lit("<cust"), _attribute("id", F.col("c_custkey")), _attribute("seg", F.col("c_mktsegment")), F.lit("/>"))
     custs = _table(spark, sf_dir, "customer").select("c_nationkey", F.struct(F.col("c_custkey").alias("k"), cust.alias("m")).alias("x"))
-    custs = custs.groupBy("c_nationkey").agg(_joined("x").alias("inner"))
+    custs = _by_key(custs, "c_nationkey").groupBy("c_nationkey").agg(_joined("x").alias("inner"))
     nations = _table(spark, sf_dir, "nation").join(custs, F.col("n_nationkey") == F.col("c_nationkey"), "left")
     nation = F.concat(F.lit("<nation"), _attribute("id", F.col("n_nationkey")), F.lit(">"), F.coalesce("inner", F.lit("")), F.lit("</nation>"))
     nations = nations.select("n_regionkey", F.struct(F.col("n_nationkey").alias("k"), nation.alias("m")).alias("y"))

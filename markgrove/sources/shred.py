@@ -15,6 +15,7 @@ from pyspark.sql import types as T
 
 from ..deploy import ship_package
 from .markup import COMMENT, DOCUMENT, ELEMENT, INSTRUCTION, TEXT, parse, read_attributes
+from .scan import spread
 
 _INTS = ("pre", "parent", "depth", "last", "sib", "name_pos", "name_cnt", "start", "end", "content_start", "content_end")
 #: Columns of the node table after the document's key.
@@ -104,14 +105,6 @@ def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: fro
     return out
 
 
-def spread(docs: DataFrame) -> DataFrame:
-    """``docs`` over all cores where its files make fewer partitions: a few small ones. Larger inputs stay where they are."""
-    if docs.isStreaming:
-        return docs
-    cores = docs.sparkSession.sparkContext.defaultParallelism
-    return docs.repartition(cores) if docs._jdf.queryExecution().toRdd().getNumPartitions() < cores else docs
-
-
 def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> DataFrame:
     """The node table of ``docs``: ``doc`` (the key) and the columns in ``needs``. Null and blank documents have no nodes.
 

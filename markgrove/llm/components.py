@@ -1,7 +1,8 @@
 """Connected components of an undirected graph given as a table of links, by alternating large and small stars.
 
 Every round is two aggregations and joins over the links; links shrink to stars
-in a few rounds. Nothing is gathered at the driver but two numbers a round.
+in a few rounds. They end when the links are stars. Nothing is gathered
+at the driver but two numbers a round.
 """
 
 from __future__ import annotations
@@ -28,16 +29,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("a <> b").distinct()
 
 
+def _settled(edges: DataFrame) -> bool:
+    """Whether the links (larger node first) are stars already: one link a node, and no node both a leaf and a centre."""
+    links, leaves = edges.agg(F.count("*"), F.countDistinct("a")).first()
+    if links != leaves:
+        return False
+    return not edges.join(edges.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").head(1)
+
+
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     """``node`` and ``component`` (its least node) for every node that has a link."""
-    edges = settle(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).where("a <> b"), name)
-    seen = None
-    while True:
-        edges = settle(_star(_star(edges, large=True), large=False), name)
-        state = tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % F.lit(1 << 40))).first())
-        if state == seen or not state[0]:
-            break
-        seen = state
+    links = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
+    links = settle(links, name)
+    while not _settled(links):
+        links = settle(_star(_star(links, large=True), large=False), name)
     # now every link joins a node to the least of its component
-    roots = edges.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
-    return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
+    roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+    return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

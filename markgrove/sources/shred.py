@@ -97,7 +97,7 @@ def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: fro
     if needs & {"attrs", "attr_order"}:
         read = [None if attributes[i] is None else read_attributes(attributes[i]) if attributes[i] else {} for i in keep]
         if "attrs" in needs:
-            out["attrs"] = [None if a is None else list(a.items()) for a in read]
+            out["attrs"] = read
         if "attr_order" in needs:
             out["attr_order"] = [None if a is None else list(a) for a in read]
     if "source" in needs:
@@ -105,6 +105,20 @@ def document_columns(html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: fro
     return out
 
 
+def _map_array(rows: list[dict[str, str] | None]) -> pa.MapArray:
+    """Dicts as an Arrow map column, by way of flat keys and values."""
+    offsets: list[int | None] = []
+    keys: list[str] = []
+    values: list[str] = []
+    for row in rows:
+        offsets.append(None if row is None else len(keys))
+        if row:
+            keys.extend(row)
+            values.extend(row.values())
+    offsets.append(len(keys))
+    return pa.MapArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(keys, pa.string()), pa.array(values, pa.string()))
+
+
 def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> DataFrame:
     """The node table of ``docs``: ``doc`` (the key) and the columns in ``needs``. Null and blank documents have no nodes.
 
@@ -127,7 +141,7 @@ def shred(docs: DataFrame, key: str, html: str, needs: Iterable[str] = NODE_COLU
                 if sum(counts) >= BATCH_NODES or i == batch.num_rows - 1:
                     owner = [begin + k for k, n in enumerate(counts) for _ in range(n)]
                     keys = batch.column(0).take(pa.array(owner, pa.int64()))
-                    arrays = [pa.array(columns[f.name], f.type) for f in schema]
+                    arrays = [_map_array(columns[f.name]) if f.name == "attrs" else pa.array(columns[f.name], f.type) for f in schema]
                     yield pa.RecordBatch.from_arrays([keys, *arrays], names=["doc", *names])
                     begin, counts, columns = i + 1, [], {c: [] for c in names}
 
@@ -142,8 +156,6 @@ class HtmlNodes:
         if html is None or not html.strip():
             return
         columns = document_columns(html)
-        attrs = [dict(a) if a is not None else None for a in columns["attrs"]]
-        columns["attrs"] = attrs
         yield from zip(*(columns[c] for c in NODE_COLUMNS), strict=True)
 
 

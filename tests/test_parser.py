@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from markgrove.sources.markup import FIELDS, parse
-from markgrove.sources.shred import document_columns
+from markgrove.sources.shred import _map_array, document_columns
 
 
 def shape(html):
@@ -95,6 +95,10 @@ def test_always_ends_with_nested_spans(html):
     assert max(columns["text_to"]) <= sum(map(len, chunks))
 
 
+def test_map_columns_keep_nulls_and_empty_maps():
+    assert [None if r is None else dict(r) for r in _map_array([None, {}, {"a": "1", "b": ""}, None]).to_pylist()] == [None, {}, {"a": "1", "b": ""}, None]
+
+
 def test_unwanted_nodes_are_dropped_after_numbering():
     html = "<u><li a='1'>x</li>t<!--c--><b/><li/></u>"
     whole = document_columns(html)

@@ -11,32 +11,31 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from markgrove.deploy import ship_package
 from markgrove.llm import near_dedup, packing, quality, secrets
-from markgrove.llm.common import settle, table
+from markgrove.llm.common import prepare, settle, table
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Importance resampling against the labelled good documents (operator 8)."""
-    ship_package(spark)
+    prepare(spark)
     return quality.keep_good(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Five-word shingles, similarity 0.8 or more, the least doc_id of each group stays (operator 10)."""
-    ship_package(spark)
+    prepare(spark)
     return near_dedup.keep_one(docs, words=5, percent=80, half=3, tables=10)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret span becomes a mask; n_chars follows the text (operator 9)."""
-    ship_package(spark)
+    prepare(spark)
     return secrets.redact(docs, length="n_chars")
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of at most 2048 tokens in as few sequences as it can (operator 5)."""
-    ship_package(spark)
+    prepare(spark)
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship_package
 
+#: Rows in one Arrow batch, at most.
+BATCH_ROWS = 1000
 _OWN_DIR: list[str] = []
 
 
@@ -56,21 +58,28 @@ def settle(df: DataFrame, name: str) -> DataFrame:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    ship_package(spark)
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_or_empty(column: str = "text") -> Column:
-    return F.coalesce(F.col(column), F.lit(""))
+def once(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with ``value`` evaluated once a row."""
+    return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def spread(spark: SparkSession, df: DataFrame) -> DataFrame:
-    """``df`` over enough partitions for CPU-heavy work when its files are too few to keep the cores busy.
+def prepare(spark: SparkSession) -> None:
+    """Ship the package to the workers, and let rows reach them in batches of BATCH_ROWS at most.
 
-    Rows move only if there are fewer partitions than cores: a handful of small files.
+    Whole texts travel in these batches, so their size bounds what a worker holds.
     """
-    cores = spark.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+    ship_package(spark)
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(name)) <= BATCH_ROWS:
+        spark.conf.set(name, str(BATCH_ROWS))
+
+
+def text_or_empty(column: str = "text") -> Column:
+    return F.coalesce(F.col(column), F.lit(""))
 
 
 def number_within(df: DataFrame, group: str, order: list[str], blocks: int, out: str) -> DataFrame:

@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import settle, text_or_empty
+from .common import once, settle, text_or_empty
 
 SHINGLE_WORDS = 5
 SCALE = 8
@@ -44,12 +44,7 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Colu
         low = F.filter(hashes, lambda h: h < limit)
         return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
 
-    return _let(_let(split, shingles), keep)
-
-
-def _let(value: Column, body) -> Column:
-    """``body(value)`` with ``value`` evaluated once a row."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    return once(once(split, shingles), keep)
 
 
 def as_text(hashes: Column) -> Column:

@@ -34,7 +34,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import settle
+from .common import settle, slices
 
 BUCKETS = 1 << 16
 #: Labelled documents that the target model is fitted on, at most.
@@ -43,7 +43,8 @@ FLOOR = -3.0
 #: Pseudo-count of a bucket in both models: words seen in a few documents say nothing yet.
 PRIOR = 200.0
 SEED = 17
-RUN_CHARS = 1 << 19
+#: Bytes of text whose features are held at a time, about.
+RUN_BYTES = 1 << 19
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n+")
 _REPEAT = np.uint64(7 << 45)
@@ -66,7 +67,7 @@ class _Tokens(dict):
             shape = 4 if len(token) > 1 else 5
         else:
             shape = 6 if token.istitle() else 7
-        if len(self) > 300_000:
+        if len(self) > 100_000:
             self.clear()
         value = self[token] = zlib.crc32(token.lower().encode()) | shape << 32
         return value
@@ -98,18 +99,8 @@ def features(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     return buckets, np.concatenate([owner, owner[1:][within], owner[1:][within]])
 
 
-def _runs(column: pa.Array) -> Iterator[tuple[int, list[str]]]:
-    """(index of the first, texts) of consecutive texts of about RUN_CHARS together."""
-    run, size, at = [], 0, 0
-    for i, t in enumerate(column):
-        text = t.as_py() or ""
-        if run and size + len(text) > RUN_CHARS:
-            yield at, run
-            run, size, at = [], 0, i
-        run.append(text)
-        size += len(text)
-    if run:
-        yield at, run
+def _texts(column: pa.Array) -> list[str]:
+    return [t or "" for t in column.to_pylist()]
 
 
 @dataclass
@@ -145,12 +136,11 @@ def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "te
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
-        for batch in batches:
+        for batch in (s for b in batches for s in slices(b, 0, RUN_BYTES)):
             flags = batch.column(1).to_numpy(zero_copy_only=False)
-            for at, texts in _runs(batch.column(0)):
-                buckets, owner = features(texts)
-                raw += np.bincount(buckets, minlength=BUCKETS)
-                target += np.bincount(buckets[flags[at : at + len(texts)][owner]], minlength=BUCKETS)
+            buckets, owner = features(_texts(batch.column(0)))
+            raw += np.bincount(buckets, minlength=BUCKETS)
+            target += np.bincount(buckets[flags[owner]], minlength=BUCKETS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
@@ -177,11 +167,8 @@ def score(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "tex
     counts = Models(models.raw, models.target, None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            flags = batch.column(3).to_numpy(zero_copy_only=False)
-            weight = np.zeros(batch.num_rows)
-            for at, texts in _runs(batch.column(1)):
-                weight[at : at + len(texts)] = counts.log_weights(texts, flags[at : at + len(texts)])
+        for batch in (s for b in batches for s in slices(b, 1, RUN_BYTES)):
+            weight = counts.log_weights(_texts(batch.column(1)), batch.column(3).to_numpy(zero_copy_only=False))
             noisy = weight + batch.column(2).to_numpy(zero_copy_only=False)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(weight), pa.array(noisy)], names=[f.name for f in fields])
 

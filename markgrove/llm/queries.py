@@ -6,13 +6,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.scan import spread
 from . import ann, bpe, fingerprints, near_dedup, packing, quality, secrets, sharding, token_counts, warc
-from .common import fresh_path, spread, table
+from .common import fresh_path, table
 
 
 def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return token_counts.count_tokens(spread(spark, docs), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
+    return token_counts.count_tokens(spread(docs), public_tokenizers.path("word_bpe_49k.json"), limit=2048)
 
 
 def op2_jump_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,13 +32,13 @@ def op4_scaled_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return packing.pack_documents(spread(spark, docs), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
+    return packing.pack_documents(spread(docs), public_tokenizers.path("byte_bpe_50k.json"), capacity=2048)
 
 
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.bpe_decode(bpe.bpe_encode(spread(spark, docs), path), path)
+    decoded = bpe.bpe_decode(bpe.bpe_encode(spread(docs), path), path)
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
@@ -49,7 +50,7 @@ def op7_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return quality.resample(spread(spark, docs), table(spark, sf_dir, "labels"))
+    return quality.resample(spread(docs), table(spark, sf_dir, "labels"))
 
 
 def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,7 +59,7 @@ def op9_entropy_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_tensored_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return near_dedup.near_duplicates(spread(spark, docs), words=3, percent=85)
+    return near_dedup.near_duplicates(spread(docs), words=3, percent=85)
 
 
 QUERIES = {

@@ -19,11 +19,12 @@ each; an empty table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from math import log2
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import text_or_empty
-from .fingerprints import _let
+from .common import once, text_or_empty
 
 #: The base patterns.
 ASSIGN = r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -67,7 +68,7 @@ def _spans(text: Column, pattern: str, kind: str, keep_group: int | None = None)
         return F.aggregate(F.filter(items, lambda x: x["n"].isNotNull()), zero, step, lambda acc: acc["out"])
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    return F.when(F.regexp_like(text, F.lit(pattern)), _let(found, positions)).otherwise(F.array().cast(_SPANS))
+    return F.when(F.regexp_like(text, F.lit(pattern)), once(found, positions)).otherwise(F.array().cast(_SPANS))
 
 
 _SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
@@ -77,8 +78,7 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of ``candidate``."""
     codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
     size = len(ALPHABET) + 1
-    term = [0.0] + [c * __import__("math").log2(c) for c in range(1, window + 1)]
-    terms = F.array(*[F.lit(float(x)) for x in term])
+    terms = F.array(F.lit(0.0), *[F.lit(c * log2(c)) for c in range(1, window + 1)])
 
     def slide(seq: Column) -> Column:
         zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
@@ -98,10 +98,9 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
                 F.when(full, F.least(acc["least"], total)).otherwise(acc["least"]).alias("least"),
             )
 
-        log_w = __import__("math").log2(window)
-        return F.aggregate(F.sequence(F.lit(0), F.size(seq) - 1), zero, step, lambda acc: F.lit(log_w) - acc["least"] / F.lit(float(window)))
+        return F.aggregate(F.sequence(F.lit(0), F.size(seq) - 1), zero, step, lambda acc: F.lit(log2(window)) - acc["least"] / F.lit(float(window)))
 
-    return F.when(F.length(candidate) >= window, _let(codes, slide)).otherwise(F.lit(0.0))
+    return F.when(F.length(candidate) >= window, once(codes, slide)).otherwise(F.lit(0.0))
 
 
 def _entropy_spans(text: Column) -> Column:

@@ -39,6 +39,19 @@ class NodeTable:
         self.df.unpersist()
 
 
+#: Tables that queries persisted by themselves.
+_IMPLICIT: list[NodeTable] = []
+
+
+def release() -> None:
+    """Unpersist the node tables that ``query`` and ``evaluate`` kept because their plans read them more than once.
+
+    Call it between queries of a long session; results that were not yet computed still can be, by parsing again.
+    """
+    while _IMPLICIT:
+        _IMPLICIT.pop().unpersist()
+
+
 def shred_documents(docs: DataFrame, key: str = "doc_id", html: str = "html", columns: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> NodeTable:
     """The node table of ``docs``, persisted; reads of it with the session's co-partitioning setting need no further exchange."""
     spark = docs.sparkSession
@@ -87,7 +100,11 @@ class XPath:
             nodes = docs.df
         else:
             needs, wanted, uses = self.needs(columns, contents_only, output, include_location)
-            nodes = shred(docs, key, html, needs, wanted) if uses == 1 else shred_documents(docs, key, html, needs, wanted).df
+            if uses == 1:
+                nodes = shred(docs, key, html, needs, wanted)
+            else:  # read more than once: parse once
+                _IMPLICIT.append(shred_documents(docs, key, html, needs, wanted))
+                nodes = _IMPLICIT[-1].df
             missing = [f for f in NODE_FIELDS if f.name not in needs]
             nodes = nodes.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else nodes
         result = self._plan(Compiler(nodes, self.profile), columns, contents_only, output, include_location)

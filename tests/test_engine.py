@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from markgrove import __version__, build_info, check_spark_version, is_compatible
-from markgrove.api import compile_xpath, errors, query, query_many, register_table, shred_documents, slice_source, to_json_documents
+from markgrove.api import compile_xpath, errors, query, query_many, register_table, release, shred_documents, slice_source, to_json_documents
 from markgrove.functions.values import unescape_entities
 from markgrove.sources.shred import read_documents
 
@@ -140,6 +140,14 @@ def test_one_shredding_serves_many_queries(spark):
     table.unpersist()
 
 
+def test_implicit_tables_can_be_released_before_the_result_is_read(spark):
+    docs = spark.createDataFrame([(1, LIST)], "doc_id int, html string")
+    found = query("//u[li='2']", docs, columns=["text_content"])
+    release()
+    assert [r.text_content for r in found.collect()] == ["23"]
+    assert [r.text_content for r in query("//u[li='1']", docs, columns=["text_content"]).collect()] == ["1"]
+
+
 def test_joins_on_a_node_table_move_nothing_but_the_shredding(spark):
     docs = spark.createDataFrame([(i, LIST) for i in range(50)], "doc_id int, html string")
     table = shred_documents(docs)

@@ -108,7 +108,7 @@ def test_base_spans_equal_brute_force(spark, odd, none):
 def test_entropy_spans_and_allow_list(spark):
     texts = [
         "id ghp9Zk3Lq8XvT2mN5bR7wY1cD4f end", "uuid 123e4567-e89b-12d3-a456-426614174000", "2024-01-02-2024-01-02-2024", "a/long/path/of/words/without/secrets1",
-        "aaaaaaaaaaaaaaaaaaaaaaa1", "Donaudampfschifffahrtsgesellschaftskapitän", "DEADBEEF0123456789ABCDEF01234567", "x" * 30 + "1",
+        "z1z1z1z1z1z1z1z1z1z1z1z1", "Donaudampfschifffahrtsgesellschaftskapitän", "DEADBEEF0123456789ABCDEF01234567", "x" * 30 + "1",
     ]
     rows = secrets.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
     assert {r.doc_id: r.spans for r in rows} == {0: "alnum:3:30", 1: "", 2: "", 3: "", 4: "", 5: "", 6: "hexclass:0:32", 7: ""}

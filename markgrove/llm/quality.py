@@ -7,9 +7,12 @@ probability; Gumbel noise is added, and the k documents of highest sum are the
 resampled corpus. Features are word unigrams and bigrams (a repeated word is one
 feature of its own, whatever the word) and bigrams of token shapes.
 
-The target model is fitted on a bounded sample, at most TARGET_LIMIT labelled
-documents (those of least hashed id); the raw model counts every document. Both
-are arrays of BUCKETS numbers. k defaults to the number of documents whose log
+Both models count distinct texts: the copies of a text count once, as target if
+any of them is in the target sample, and the whole text is taken out of both when
+one of its copies is scored. Else a clean text would be rejected for being common.
+The target sample is bounded, at most TARGET_LIMIT labelled documents (those of
+least hashed id); the raw model counts every text. Both are arrays of BUCKETS
+numbers. k defaults to the number of documents whose log
 importance is above FLOOR, over the whole table: a document is left out only if
 its text is far likelier raw than target, and noise of unit scale decides near
 the floor alone. The k-th key is found exactly by narrowing histograms.
@@ -45,6 +48,10 @@ PRIOR = 200.0
 SEED = 17
 #: Bytes of text whose features are held at a time, about.
 RUN_BYTES = 1 << 19
+#: Digests of repeated or target texts up to this many are broadcast; beyond it they are joined by a shuffle.
+BROADCAST_ROWS = 500_000
+#: Parts that the copies of one text are dealt over in that shuffle.
+COPY_PARTS = 64
 
 _TOKEN = re.compile(r"\w+|[^\w\s]+|\n+")
 _REPEAT = np.uint64(7 << 45)
@@ -105,7 +112,7 @@ def _texts(column: pa.Array) -> list[str]:
 
 @dataclass
 class Models:
-    """Feature counts of all documents and of the target sample, and the sample's ids."""
+    """Feature counts of all distinct texts and of those in the target sample, and the digests of the latter."""
 
     raw: np.ndarray
     target: np.ndarray
@@ -126,29 +133,47 @@ class Models:
         return np.bincount(owner, weights=own * np.log(seen / expected), minlength=len(texts))
 
 
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.col(text)))
+
+
+def _shared(docs: DataFrame, sample: DataFrame, key: str, text: str) -> DataFrame:
+    """_digest, _copies and _target of the texts that have copies or are in the target ``sample``."""
+    rows = docs.where(F.col(text).isNotNull()).select(F.col(key).cast("long").alias("_id"), _digest(text).alias("_digest"))
+    rows = rows.join(F.broadcast(sample), "_id", "left")
+    found = rows.groupBy("_digest").agg(F.count("*").alias("_copies"), F.coalesce(F.max("_target"), F.lit(False)).alias("_target"))
+    return settle(found.where("_copies > 1 OR _target"), "shared")
+
+
 def fit(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", limit: int = TARGET_LIMIT) -> Models:
     """Count both models over ``docs``."""
     good = labels.where(F.col(key).isNotNull()).groupBy(F.col(key).cast("long").alias("_id")).agg(F.min("quality").alias("_q")).where("_q = 1")
     sample = good.orderBy(F.xxhash64("_id", F.lit(SEED)), "_id").limit(limit).select("_id", F.lit(True).alias("_target"))
-    sample = settle(sample, "target")
-    rows = docs.select(F.col(key).cast("long").alias("_id"), F.col(text).alias("_text"))
-    rows = rows.join(F.broadcast(sample), "_id", "left").select("_text", F.coalesce("_target", F.lit(False)).alias("_target"))
+    shared = _shared(docs, settle(sample, "target"), key, text)
+    rows = docs.select(F.col(key).alias("_id"), F.col(text).alias("_text"), _digest(text).alias("_digest"))
+    if shared.count() <= BROADCAST_ROWS:
+        rows = rows.join(F.broadcast(shared), "_digest", "left")
+    else:
+        parts = shared.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(COPY_PARTS - 1))))
+        rows = rows.withColumn("_part", F.pmod(F.xxhash64("_id"), F.lit(COPY_PARTS)).cast("int")).join(parts, ["_digest", "_part"], "left")
+    rows = rows.select("_text", F.coalesce("_target", F.lit(False)).alias("_target"), F.coalesce("_copies", F.lit(1)).alias("_copies"))
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        raw, target = np.zeros(BUCKETS, np.int64), np.zeros(BUCKETS, np.int64)
+        raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
         for batch in (s for b in batches for s in slices(b, 0, RUN_BYTES)):
-            flags = batch.column(1).to_numpy(zero_copy_only=False)
+            flags, weights = batch.column(1).to_numpy(zero_copy_only=False), 1 / batch.column(2).to_numpy()
             buckets, owner = features(_texts(batch.column(0)))
-            raw += np.bincount(buckets, minlength=BUCKETS)
-            target += np.bincount(buckets[flags[owner]], minlength=BUCKETS)
+            raw += np.bincount(buckets, weights=weights[owner], minlength=BUCKETS)
+            target += np.bincount(buckets, weights=(weights * flags)[owner], minlength=BUCKETS)
         used = np.flatnonzero(raw)
         yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(raw[used]), pa.array(target[used])], names=["bucket", "raw", "target"])
 
-    counts = rows.mapInArrow(count, "bucket long, raw long, target long").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
+    counts = rows.mapInArrow(count, "bucket long, raw double, target double").groupBy("bucket").agg(F.sum("raw").alias("raw"), F.sum("target").alias("target"))
     raw, target = np.zeros(BUCKETS), np.zeros(BUCKETS)
     for r in counts.collect():  # BUCKETS rows at most
         raw[r["bucket"]], target[r["bucket"]] = r["raw"], r["target"]
-    return Models(raw, target, sample)
+    # n copies add n parts of 1/n: counts of distinct texts are whole numbers again, whatever the order of the sum
+    return Models(np.rint(raw), np.rint(target), shared.where("_target").select("_digest", "_target"))
 
 
 def _gumbel(key: str, text: str) -> Column:
@@ -161,8 +186,8 @@ def score(docs: DataFrame, models: Models, key: str = "doc_id", text: str = "tex
     """``row`` (a struct of the key, with ``carry`` of every column of ``docs``), ``_log_weight`` and ``_key`` (with noise)."""
     # the row travels as one struct, so no name of its columns can clash
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]) if carry else F.struct(F.col(key))
-    rows = docs.select(row.alias("row"), F.col(text).alias("_text"), _gumbel(key, text).alias("_noise"), F.col(key).cast("long").alias("_id"))
-    rows = rows.join(F.broadcast(models.sample), "_id", "left").select("row", "_text", "_noise", F.coalesce("_target", F.lit(False)).alias("_target"))
+    rows = docs.select(row.alias("row"), F.col(text).alias("_text"), _gumbel(key, text).alias("_noise"), _digest(text).alias("_digest"))
+    rows = rows.join(F.broadcast(models.sample), "_digest", "left").select("row", "_text", "_noise", F.coalesce("_target", F.lit(False)).alias("_target"))
     fields = [rows.schema["row"], T.StructField("_log_weight", T.DoubleType()), T.StructField("_key", T.DoubleType())]
     counts = Models(models.raw, models.target, None)
 

@@ -183,6 +183,23 @@ def test_classifier_drops_bad_and_keeps_good_beyond_the_labels(spark):
     assert quality.resample(docs, labels, k=50).count() == 50
 
 
+@pytest.mark.parametrize("broadcast", [500_000, 0])
+def test_classifier_keeps_clean_texts_with_many_copies(spark, monkeypatch, broadcast):
+    monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)
+    docs, labels, bad = good_and_bad(spark)
+    labelled = {r.doc_id for r in labels.collect()}
+    once = quality.resample(docs, labels).collect()
+    want = {r.doc_id: r.log_weight for r in once}
+    free = next(i for i in range(400) if i not in bad and i not in labelled)
+    marked = next(i for i in range(400) if i not in bad and i in labelled)
+    for original in (free, marked):  # the copies have no labels and are a third of all rows
+        copies = docs.where(F.col("doc_id") == original).crossJoin(spark.range(1000, 1200)).select(F.col("id").alias("doc_id"), "text")
+        got = {r.doc_id: r.log_weight for r in quality.resample(docs.unionByName(copies).repartition(5), labels).collect()}
+        assert {original, *range(1000, 1200)} <= got.keys() and not got.keys() & bad
+        assert {got[i] for i in range(1000, 1200)} == {got[original]} == {want[original]}
+        assert sum(got.get(i) == w for i, w in want.items()) >= 0.99 * len(want)
+
+
 def test_classifier_on_odd_rows(odd, none, spark):
     labels = spark.createDataFrame([(3, 1), (3, 1), (4, 0), (4, 1), (None, 1), (5, None)], "doc_id long, quality int")
     out = quality.keep_good(odd, labels)

@@ -15,6 +15,10 @@ coordinates, so that a query travels once to a region with its list of buckets
 there. Large regions and many queries are dealt over chunks; every chunk returns
 the best of each query only. No bucket is capped.
 
+A query that finds fewer than ``k`` rows in its buckets though the table has more
+(a tiny table, or a query far from a tight cluster) searches all buckets: the whole
+index is one region then, in the same chunks, and its result is exact.
+
 A vector takes part if it is not null, has the table's usual number of components,
 all finite, not all zero. Defined results: rows that share an id count once, for
 the same vector (else for each); fewer than ``k`` candidates give fewer rows;
@@ -179,16 +183,8 @@ def best_in_block(ids: np.ndarray, x: np.ndarray, bucket: np.ndarray, query_ids:
     return out
 
 
-def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The ``k`` nearest rows found of every row for which ``queries`` holds: query_id, rank, vec_id, score."""
-    spark = df.sparkSession
-    built = build_index(df, key, vector)
-    if built is None:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index, kind, _ = built
-    asked = index.where("table_no = 0").join(df.where(queries & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
-    visits = settle(_visits(asked.select("id", "vec"), kind), "visits")
-
+def _best(index: DataFrame, visits: DataFrame, kind: str, k: int) -> DataFrame:
+    """query_id, rank, vec_id, score: the ``k`` best of what each query finds in the buckets it visits."""
     # both tables of counts have at most TABLES * regions rows
     chunks = index.groupBy("table_no", "region").agg(F.ceil(F.count("*") / CHUNK_VECTORS).cast("int").alias("vs"))
     chunks = chunks.join(visits.groupBy("table_no", "region").agg(F.ceil(F.count("*") / CHUNK_QUERIES).cast("int").alias("qs")), ["table_no", "region"])
@@ -237,3 +233,25 @@ def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", ve
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     best = found.withColumn("rank", F.dense_rank().over(order)).where(F.col("rank") <= k).distinct()
     return best.select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
+
+
+def nearest(df: DataFrame, queries: Column, k: int = 20, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+    """The ``k`` nearest rows found of every row for which ``queries`` holds: query_id, rank, vec_id, score."""
+    spark = df.sparkSession
+    built = build_index(df, key, vector)
+    if built is None:
+        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
+    index, kind, _ = built
+    every = index.where("table_no = 0")
+    asked = every.join(df.where(queries & F.col(key).isNotNull()).select(F.col(key).cast("long").alias("id")).distinct(), "id", "left_semi")
+    best = settle(_best(index, settle(_visits(asked.select("id", "vec"), kind), "visits"), kind, k), "best")
+
+    # rows that share an id may make a query look short that is not: it finds the same again
+    full = best.groupBy(F.col("query_id").alias("id")).count().where(F.col("count") >= min(k, every.count() - 1))
+    short = settle(asked.join(full, "id", "left_anti").select("id", "vec").distinct(), "short")
+    if not short.head(1):
+        return best
+    whole = every.select("id", "vec").distinct().select("id", "vec", F.lit(0).alias("table_no"), F.lit(0).alias("region"), F.lit(0).cast("long").alias("bucket"))
+    visits = short.select("id", "vec", F.lit(0).alias("table_no"), F.lit(0).alias("region"), F.array(F.lit(0).cast("long")).alias("buckets"))
+    rest = _best(settle(whole, "whole"), visits, kind, k)
+    return best.join(short.select(F.col("id").alias("query_id")).distinct(), "query_id", "left_anti").select("query_id", "rank", "vec_id", "score").unionByName(rest)

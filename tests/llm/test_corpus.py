@@ -162,6 +162,38 @@ def test_neighbours_of_odd_vectors(spark):
     assert ann.nearest(docs.where("vec_id = 2"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("n", [2, 10, 20, 25, 40])
+def test_neighbours_of_tiny_tables_are_whole(spark, n):
+    points = np.random.default_rng(n).normal(size=(n, 64))
+    rows = [(i, [float(c) for c in p / np.linalg.norm(p)]) for i, p in enumerate(points)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = nearest_by_force(rows, 20)
+    assert got.keys() == want.keys()
+    for q, found in got.items():
+        assert len(found) == len(set(found)) == min(20, n - 1)
+        assert n > 21 or found == want[q]
+
+
+@pytest.mark.parametrize(("chunk", "asking"), [(20_000, 4_000), (300, 2)])
+def test_neighbours_of_queries_opposite_a_cluster(spark, monkeypatch, chunk, asking):
+    monkeypatch.setattr(ann, "CHUNK_VECTORS", chunk)
+    monkeypatch.setattr(ann, "CHUNK_QUERIES", asking)
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=64)
+    points = centre / np.linalg.norm(centre) + 0.02 * rng.normal(size=(2000, 64))
+    points[:100:20] *= -1  # five queries point the other way
+    points /= np.linalg.norm(points, axis=1, keepdims=True)
+    rows = [(i, [float(c) for c in p]) for i, p in enumerate(points)]
+    got = defaultdict(list)
+    for r in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 20 == 0).orderBy("query_id", "rank").collect():
+        got[r.query_id].append(r.vec_id)
+    want = nearest_by_force(rows, 20)
+    assert all(len(got[q]) == 20 for q in want)
+    assert all(got[q] == want[q] for q in range(0, 100, 20))
+
+
 def good_and_bad(spark, n=400, seed=3):
     rng = random.Random(seed)
     word = lambda: "".join(rng.choice("etaoinshr") for _ in range(rng.randrange(2, 8)))

@@ -5,12 +5,14 @@ name, ``:`` or ``=``, a value of 6 characters or more), ``access`` (AKIA keys of
 20 characters or more) and ``hex`` (lower-case hex runs of 24 or more).
 
 Entropy kinds: a candidate string is a maximal run of 20 or more characters of
-``A-Za-z0-9+/_-`` that holds a digit and a letter and is not on the allow-list.
+``A-Za-z0-9+/_-`` that is not on the allow-list; words are on it, but not jumbled
+letters, which change case too often to be words and are not camel case either.
 Its class is ``hexclass`` (hex digits only), ``alnum`` (letters and digits only)
 or ``token`` (anything else). A window of WINDOW characters slides over it; the
 Shannon entropy of the window comes from counts that change by the one
 character that enters and the one that leaves. The candidate is reported, whole,
-if any window reaches the class's threshold. Spans that a base span covers are
+if any window reaches the class's threshold, or as ``token`` if a separator-free
+part of WINDOW or more characters would be reported by its own class. Spans that a base span covers are
 not reported twice.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
@@ -37,14 +39,20 @@ ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 #: Bits a character that one window must reach, by class. A window of 20 has 4.32 at most, of hex digits 4.0.
 THRESHOLDS = {"hexclass": 3.1, "alnum": 3.6, "token": 3.7}
-#: Not secrets: UUIDs; dates and numbers with separators; paths and slugs of words; words with a trailing number.
+#: Not secrets: UUIDs; dates and numbers with separators.
 ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_-]+$",
+)
+#: Not secrets unless their letters are jumbled: paths and slugs of words; words with a trailing number.
+WORDS = (
     r"^[A-Za-z+/_-]+$",
     r"^([A-Za-z]*[/_-])*[A-Za-z]+[0-9]{1,4}$",
     r"^([A-Za-z]+|[0-9]{1,4})([/_-]+([A-Za-z]+|[0-9]{1,4}))*$",
 )
+CASE_CHANGE = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
+#: Share of neighbouring characters that differ in case, from which letters with two capitals in a row are jumbled. At random it is 0.5.
+JUMBLED = 0.3
 
 
 def _spans(text: Column, pattern: str, kind: str, keep_group: int | None = None) -> Column:
@@ -104,19 +112,28 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
 
 def _entropy_spans(text: Column) -> Column:
-    allowed = lambda s: F.regexp_like(s, F.lit("|".join(ALLOW)))
     spans = _spans(text, CANDIDATE, "token")
 
+    def kind_of(s: Column) -> Column:
+        return F.when(F.regexp_like(s, F.lit("^[0-9a-fA-F]+$")), "hexclass").when(F.regexp_like(s, F.lit("^[A-Za-z0-9]+$")), "alnum").otherwise("token")
+
+    def suspicious(s: Column) -> Column:
+        kind = kind_of(s)
+        least = F.when(kind == "hexclass", THRESHOLDS["hexclass"]).when(kind == "alnum", THRESHOLDS["alnum"]).otherwise(THRESHOLDS["token"])
+        jumbled = F.regexp_like(s, F.lit("[A-Z]{2}")) & (F.regexp_count(s, F.lit(CASE_CHANGE)) >= F.lit(JUMBLED) * (F.length(s) - 1))
+        words = F.regexp_like(s, F.lit("|".join(WORDS))) & ~jumbled
+        return ~F.regexp_like(s, F.lit("|".join(ALLOW))) & ~words & (peak_entropy(s) >= least)
+
     def judge(span: Column) -> Column:
         string = F.substring(text, span["start"] + 1, span["end"] - span["start"])
-        kind = F.when(F.regexp_like(string, F.lit("^[0-9a-fA-F]+$")), "hexclass").when(F.regexp_like(string, F.lit("^[A-Za-z0-9]+$")), "alnum").otherwise("token")
-        least = F.when(kind == "hexclass", THRESHOLDS["hexclass"]).when(kind == "alnum", THRESHOLDS["alnum"]).otherwise(THRESHOLDS["token"])
+        parts = F.filter(F.split(string, "[+/_-]"), lambda p: (F.length(p) >= WINDOW) & (F.length(p) < F.length(string)))
+        kind = kind_of(string)
         rank = F.when(kind == "hexclass", KINDS.index("hexclass")).when(kind == "alnum", KINDS.index("alnum")).otherwise(KINDS.index("token"))
-        hit = ~allowed(string) & (peak_entropy(string) >= least)
+        hit = suspicious(string) | F.exists(parts, suspicious)
         return F.when(hit, F.struct(span["start"].alias("start"), span["end"].alias("end"), rank.alias("rank"), kind.alias("kind")))
 
-    # most texts have no run with a digit that long; those skip everything else
-    some = F.regexp_like(text, F.lit(r"[0-9]")) & F.regexp_like(text, F.lit(CANDIDATE))
+    # most texts have no run that long with a digit or two capitals; those skip everything else
+    some = F.regexp_like(text, F.lit(r"[0-9]|[A-Z]{2}")) & F.regexp_like(text, F.lit(CANDIDATE))
     return F.when(some, F.filter(F.transform(spans, judge), lambda s: s.isNotNull())).otherwise(F.array().cast(_SPANS))
 
 

@@ -1,6 +1,7 @@
 """Sharding, fingerprints and secret scans against brute force."""
 
 import hashlib
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -114,6 +115,22 @@ def test_entropy_spans_and_allow_list(spark):
     assert {r.doc_id: r.spans for r in rows} == {0: "alnum:3:30", 1: "", 2: "", 3: "", 4: "", 5: "", 6: "hexclass:0:32", 7: ""}
 
 
+def test_entropy_finds_letter_keys_and_keys_behind_prefixes(spark):
+    rng = random.Random(6)
+    draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = [draw(letters, 40) for _ in range(200)] + [p + draw("0123456789ABCDEF", 36) for p in ("key_", "KEY-") for _ in range(200)]
+    plain = [
+        "getElementsByTagNameAndClassName", "parseHTMLDocumentFromInputStream", "DONAUDAMPFSCHIFFFAHRTSGESELLSCHAFT", "donaudampfschifffahrtsgesellschaft",
+        "org/apache/spark/sql/AnalysisException", "a-slug-of-many-small-words-2024", "isATestOfABToBeOrNotToBe", "SOME_CONSTANT_NAME_IN_CAPITALS_2",
+    ]
+    rows = secrets.secret_digest(spark.createDataFrame(list(enumerate(keys + plain)), "doc_id long, text string")).collect()
+    got = {r.doc_id: r.spans for r in rows}
+    assert sum(bool(got[i]) for i in range(200)) >= 195
+    assert all(got[i] == f"token:0:{len(keys[i])}" for i in range(200, 600))
+    assert [p for i, p in enumerate(plain, len(keys)) if got[i]] == []
+
+
 def test_peak_entropy_equals_every_window_counted_anew(spark):
     from math import log2
 

@@ -44,13 +44,17 @@ ALLOW = (
     r"^[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}$",
     r"^[0-9+/_-]+$",
 )
-#: Not secrets unless their letters are jumbled: paths and slugs of words; words with a trailing number.
-WORDS = (
-    r"^[A-Za-z+/_-]+$",
-    r"^([A-Za-z]*[/_-])*[A-Za-z]+[0-9]{1,4}$",
-    r"^([A-Za-z]+|[0-9]{1,4})([/_-]+([A-Za-z]+|[0-9]{1,4}))*$",
-)
+#: Not secrets unless their letters are jumbled: words and paths of words; such with a trailing number of four digits at most.
+WORDS = (r"^[A-Za-z+/_-]+$", r"^[A-Za-z/_-]*[A-Za-z][0-9]{1,4}$")
+#: Neither are slugs: parts between separators, each of letters only or of four digits at most. No pattern here repeats
+#: a group: Java's matcher recurses once a repetition, and a long candidate would end its stack.
+SLUG = r"^[A-Za-z0-9](?:[A-Za-z0-9/_-]*[A-Za-z0-9])?$"
+NO_SLUG = r"[A-Za-z][0-9]|[0-9][A-Za-z]|[0-9]{5}"
 CASE_CHANGE = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])"
+#: Characters of a candidate that one run of the sliding window covers; runs overlap by all but one of the window.
+RUN = 256
+#: Matches whose places are summed up together.
+SPAN_BLOCK = 128
 #: Share of neighbouring characters that differ in case, from which letters with two capitals in a row are jumbled. At random it is 0.5.
 JUMBLED = 0.3
 
@@ -64,16 +68,30 @@ def _spans(text: Column, pattern: str, kind: str, keep_group: int | None = None)
         values = F.regexp_extract_all(text, F.lit(pattern), F.lit(keep_group)) if keep_group else found
         items = F.zip_with(F.zip_with(found, values, lambda m, v: F.struct(F.length(m).alias("n"), (F.length(v) >= 6).alias("ok"))), gaps,
                            lambda m, g: F.struct(m["n"].alias("n"), m["ok"].alias("ok"), F.length(g).alias("gap")))
-        zero = F.struct(F.lit(0).alias("at"), F.array().cast(_SPANS).alias("out"))
+        # the last gap has no match: its length is null and is left out
+        return once(F.filter(items, lambda x: x["n"].isNotNull()), placed)
+
+    def block_spans(block: Column, begin: Column) -> Column:
+        zero = F.struct(begin.alias("at"), F.array().cast(_SPANS).alias("out"))
 
         def step(acc: Column, x: Column) -> Column:
             start = acc["at"] + x["gap"]
             end = start + x["n"]
             one = F.struct(start.alias("start"), end.alias("end"), F.lit(rank).alias("rank"), F.lit(kind).alias("kind"))
-            return F.struct(F.coalesce(end, start).alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+            return F.struct(end.alias("at"), F.when(x["ok"], F.concat(acc["out"], F.array(one))).otherwise(acc["out"]).alias("out"))
+
+        return F.aggregate(block, zero, step, lambda acc: acc["out"])
+
+    def placed(items: Column) -> Column:
+        """Blocks first get the place where they begin, so that no step copies all spans so far."""
+        blocks = F.transform(F.sequence(F.lit(0), F.floor((F.size(items) - 1) / SPAN_BLOCK)), lambda b: F.slice(items, (b * SPAN_BLOCK + 1).cast("int"), SPAN_BLOCK))
 
-        # the last gap has no match: its length is null and is left out by the filter
-        return F.aggregate(F.filter(items, lambda x: x["n"].isNotNull()), zero, step, lambda acc: acc["out"])
+        def spans(blocks: Column) -> Column:
+            sizes = F.transform(blocks, lambda block: F.aggregate(block, F.lit(0), lambda acc, x: acc + x["gap"] + x["n"]))
+            begins = F.aggregate(sizes, F.array(F.lit(0)), lambda acc, n: F.concat(acc, F.array(F.element_at(acc, -1) + n)))
+            return F.flatten(F.zip_with(blocks, F.slice(begins, F.lit(1), F.size(blocks)), block_spans))
+
+        return F.when(F.size(items) == 0, F.array().cast(_SPANS)).otherwise(once(blocks, spans))
 
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     return F.when(F.regexp_like(text, F.lit(pattern)), once(found, positions)).otherwise(F.array().cast(_SPANS))
@@ -111,6 +129,13 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
     return F.when(F.length(candidate) >= window, once(codes, slide)).otherwise(F.lit(0.0))
 
 
+def reaches(candidate: Column, least: Column) -> Column:
+    """Whether any window of ``candidate`` has ``least`` bits a character. Runs of windows are looked at until one has."""
+    last = F.greatest(F.ceil((F.length(candidate) - WINDOW + 1) / (RUN - WINDOW + 1)) - 1, F.lit(0))
+    runs = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.substring(candidate, (i * (RUN - WINDOW + 1) + 1).cast("int"), F.lit(RUN)))
+    return F.exists(runs, lambda run: peak_entropy(run) >= least)
+
+
 def _entropy_spans(text: Column) -> Column:
     spans = _spans(text, CANDIDATE, "token")
 
@@ -121,11 +146,11 @@ def _entropy_spans(text: Column) -> Column:
         kind = kind_of(s)
         least = F.when(kind == "hexclass", THRESHOLDS["hexclass"]).when(kind == "alnum", THRESHOLDS["alnum"]).otherwise(THRESHOLDS["token"])
         jumbled = F.regexp_like(s, F.lit("[A-Z]{2}")) & (F.regexp_count(s, F.lit(CASE_CHANGE)) >= F.lit(JUMBLED) * (F.length(s) - 1))
-        words = F.regexp_like(s, F.lit("|".join(WORDS))) & ~jumbled
-        return ~F.regexp_like(s, F.lit("|".join(ALLOW))) & ~words & (peak_entropy(s) >= least)
+        slug = F.regexp_like(s, F.lit(SLUG)) & ~F.regexp_like(s, F.lit(NO_SLUG))
+        words = (F.regexp_like(s, F.lit("|".join(WORDS))) | slug) & ~jumbled
+        return ~F.regexp_like(s, F.lit("|".join(ALLOW))) & ~words & reaches(s, least)
 
-    def judge(span: Column) -> Column:
-        string = F.substring(text, span["start"] + 1, span["end"] - span["start"])
+    def judge(span: Column, string: Column) -> Column:
         parts = F.filter(F.split(string, "[+/_-]"), lambda p: (F.length(p) >= WINDOW) & (F.length(p) < F.length(string)))
         kind = kind_of(string)
         rank = F.when(kind == "hexclass", KINDS.index("hexclass")).when(kind == "alnum", KINDS.index("alnum")).otherwise(KINDS.index("token"))
@@ -134,7 +159,8 @@ def _entropy_spans(text: Column) -> Column:
 
     # most texts have no run that long with a digit or two capitals; those skip everything else
     some = F.regexp_like(text, F.lit(r"[0-9]|[A-Z]{2}")) & F.regexp_like(text, F.lit(CANDIDATE))
-    return F.when(some, F.filter(F.transform(spans, judge), lambda s: s.isNotNull())).otherwise(F.array().cast(_SPANS))
+    judged = F.zip_with(spans, F.regexp_extract_all(text, F.lit(CANDIDATE), F.lit(0)), judge)
+    return F.when(some, F.filter(judged, lambda s: s.isNotNull())).otherwise(F.array().cast(_SPANS))
 
 
 def _joined(spans: Column) -> Column:

@@ -115,6 +115,30 @@ def test_entropy_spans_and_allow_list(spark):
     assert {r.doc_id: r.spans for r in rows} == {0: "alnum:3:30", 1: "", 2: "", 3: "", 4: "", 5: "", 6: "hexclass:0:32", 7: ""}
 
 
+def test_slugs_and_words_are_told_by_flat_patterns():
+    """The patterns say what these grouped ones say, which Java's matcher cannot run on long strings."""
+    grouped = re.compile(r"^[A-Za-z+/_-]+$|^([A-Za-z]*[/_-])*[A-Za-z]+[0-9]{1,4}$|^([A-Za-z]+|[0-9]{1,4})([/_-]+([A-Za-z]+|[0-9]{1,4}))*$")
+    rng = random.Random(8)
+    for _ in range(20_000):
+        s = "".join(rng.choice(rng.choice(["ab", "a1", "1", "-", "a-", "_/", "+"])) for _ in range(rng.randrange(1, 14)))
+        flat = any(re.search(p, s) for p in secrets.WORDS) or bool(re.search(secrets.SLUG, s) and not re.search(secrets.NO_SLUG, s))
+        assert flat == bool(grouped.search(s)), s
+
+
+def test_long_candidates_and_many_matches(spark):
+    rng = random.Random(5)
+    keys = [f"{rng.getrandbits(128):032x}" for _ in range(1000)]
+    texts = ["ab-12/" * 1000, "ab-12/" * 17_000, "ab-12/" * 166_667, "ab_" * 333_333, "a" * 1_000_000 + "1", "token=abcdef " * 20_000, " ".join(keys), "x1-" * 2000 + "Zk3Lq8XvT2mN5bR7wY1cD4f"]
+    rows = {r.doc_id: r for r in secrets.secret_digest(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)).collect()}
+    assert [rows[i].spans for i in range(4)] == [""] * 4
+    assert rows[4].spans == "hex:0:1000000" or rows[4].spans == "hex:0:1000001"
+    assert rows[5].n_assign == 20_000 and rows[5].spans.split(",")[-1] == f"assign:{13 * 19_999}:{13 * 20_000 - 1}"
+    assert rows[6].spans == ",".join(f"hex:{33 * i}:{33 * i + 32}" for i in range(1000))
+    assert rows[7].spans == f"token:0:{len(texts[7])}"
+    clean = secrets.redact(spark.createDataFrame([(1, texts[1], 0), (2, texts[6], 0)], "doc_id long, text string, n_chars long"), length="n_chars").collect()
+    assert clean[0].text == texts[1] and clean[1].text == " ".join(["[secret]"] * 1000) and clean[1].n_chars == 8999
+
+
 def test_entropy_finds_letter_keys_and_keys_behind_prefixes(spark):
     rng = random.Random(6)
     draw = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))

@@ -1,12 +1,18 @@
 """Token counts: pieces counted once per distinct pre-token, joined to each document's pre-token frequencies, and summed.
 
-No id is ever made. A document becomes a frequency table of pre-tokens; the
-pieces of a pre-token are counted the first time a worker meets it and looked up
-afterwards. The join is a hash look-up inside the task that holds the document:
-a join by shuffle would move one row a distinct pre-token of each document, more
-than the texts themselves, to save a few merges that cost a microsecond each.
-The look-up table of a worker is emptied when it reaches CACHE_LIMIT entries, so
-its memory does not grow with the corpus; that changes speed, never counts.
+A document becomes a frequency table of pre-tokens; the pieces of a pre-token are
+counted the first time a worker meets it and looked up afterwards. No document's
+ids are made: the library cuts distinct pre-tokens alone, some hundreds in one
+call, and of its answer only the number of pieces of each is read. The join is a
+hash look-up inside the task that holds the document: a join by shuffle would move
+one row a distinct pre-token of each document, more than the texts themselves, to
+save a few merges that cost a microsecond each. The look-up table of a worker is
+emptied when it reaches CACHE_LIMIT entries, so its memory does not grow with the
+corpus; that changes speed, never counts.
+
+Pre-tokens are cut here as the library cuts them, which is checked for every
+character the first time it is met. The two know different versions of Unicode;
+a text with a character that they see differently is counted by the library.
 
 Defined results: a null text counts as empty and has 0 tokens; special strings
 inside a text are one token each, as the library has them by default; repeated
@@ -41,9 +47,12 @@ class PieceCounter:
         self._library = Tokenizer.from_file(path)
         special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self._special = regex.compile("|".join(map(regex.escape, special))) if special else None
+        self._marks = {t[0] for t in special}
         self._normal = self._normaliser(spec["normalizer"])
         self._split = regex.compile(self._pattern(spec["pre_tokenizer"]))
         self._pieces: dict[str, int] = {}
+        self._known: set[str] = set(map(chr, range(128)))
+        self._odd: set[str] = set()
         self._glue = " "  # dropped by the pre-tokenizer, so pre-tokens stay apart
 
     @staticmethod
@@ -76,13 +85,31 @@ class PieceCounter:
             words = self._library.encode(self._glue.join(some), add_special_tokens=False).word_ids
             counts = np.bincount(np.array(words, np.int64), minlength=len(some))
             if len(counts) != len(some):
-                raise ValueError("a pre-token was split again")
+                raise ValueError("a pre-token was split again")  # all its characters are known to be cut alike
             self._pieces.update(zip(some, counts.tolist(), strict=True))
 
+    def _look(self, characters: set[str]) -> None:
+        """Find out which of ``characters`` the library normalises, orders or cuts in another way."""
+        normal, cut = self._library.normalizer.normalize_str, self._library.pre_tokenizer.pre_tokenize_str
+        for c in characters:
+            alike = all(normal(t) == self._normal(t) for t in (c, f"a\u0315{c}\u0300\u0323"))
+            for t in (f"a{c}a", f"1{c}1", f"!{c}!"):
+                t = self._normal(t)
+                alike = alike and [t[a:b] for _, (a, b) in cut(t)] == self._split.findall(t)
+            if not alike:
+                self._odd.add(c)
+        self._known |= characters
+
     def count(self, text: str) -> int:
         """Tokens of ``text`` without begin, end or other added tokens."""
+        if not text.isascii():
+            characters = set(text)
+            if not characters <= self._known:
+                self._look(characters - self._known)
+            if self._odd and not self._odd.isdisjoint(characters):
+                return len(self._library.encode(text, add_special_tokens=False))
         n, parts = 0, (text,)
-        if self._special is not None and "<" in text:
+        if self._special is not None and any(m in text for m in self._marks):
             parts = self._special.split(text)
             n = len(parts) - 1
         for part in parts:

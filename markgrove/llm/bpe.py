@@ -21,6 +21,8 @@ from __future__ import annotations
 
 import base64
 import heapq
+import json
+import re
 import struct
 from collections.abc import Iterator
 
@@ -87,9 +89,37 @@ def _classes() -> np.ndarray:
     return _CLASS[0]
 
 
-def symbols(points: np.ndarray, firsts: np.ndarray) -> np.ndarray:
+class LibraryClasses:
+    """The classes that a byte-level tokenizer of the tokenizers library sees: its Unicode version is its own.
+
+    A code point is asked about the first time it is met: what stays one pre-token
+    between letters is a letter, and so on.
+    """
+
+    def __init__(self, path: str):
+        from tokenizers import Tokenizer
+
+        self._split = Tokenizer.from_file(path).pre_tokenizer.pre_tokenize_str
+        self._table, self._known = _classes().copy(), np.arange(0x110000) < 128
+
+    def _joined(self, points: list[int], around: str) -> np.ndarray:
+        found = {at for _, at in self._split("".join(f"{around}{chr(c)}{around}\n" for c in points))}
+        return np.array([(4 * i, 4 * i + 3) in found for i in range(len(points))])
+
+    def __getitem__(self, points: np.ndarray) -> np.ndarray:
+        if not self._known[points].all():
+            new = np.unique(points[~self._known[points]])
+            for c in np.array_split(new, -(-len(new) // 4096)):
+                asked = c.tolist()
+                kinds = [self._joined(asked, a) for a in "a1!"]
+                self._table[c] = np.select(kinds, [_LETTER, _NUMBER, _OTHER], _SPACE_IN)
+            self._known[new] = True
+        return self._table[points]
+
+
+def symbols(points: np.ndarray, firsts: np.ndarray, classes: np.ndarray | LibraryClasses | None = None) -> np.ndarray:
     """The automaton's symbols of concatenated texts; ``firsts`` are the indices at which non-empty texts begin."""
-    sym = _classes()[points]
+    sym = (_classes() if classes is None else classes)[points]
     n = len(points)
     ends = np.zeros(n + 1, bool)  # ends[i]: no character of the same text at i
     ends[firsts] = True
@@ -138,7 +168,7 @@ def scan(sym: np.ndarray) -> np.ndarray:
     return np.flatnonzero(begins.T.reshape(-1)[:n])
 
 
-def pre_tokenise(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
+def pre_tokenise(texts: list[str], classes: np.ndarray | LibraryClasses | None = None) -> list[tuple[list[str], np.ndarray]]:
     """For each text its pre-tokens and their code-point offsets."""
     whole = "".join(texts)
     lengths = np.array([len(t) for t in texts], np.int64)
@@ -146,7 +176,7 @@ def pre_tokenise(texts: list[str]) -> list[tuple[list[str], np.ndarray]]:
     if not whole:
         return [([], np.zeros(0, np.int64)) for _ in texts]
     points = np.frombuffer(whole.encode("utf-32-le"), "<u4")
-    starts = scan(symbols(points, edges[:-1][lengths > 0]))
+    starts = scan(symbols(points, edges[:-1][lengths > 0], classes))
     ends = np.append(starts[1:], len(whole)).tolist()
     slices = [whole[a:b] for a, b in zip(starts.tolist(), ends, strict=True)]
     cut = np.searchsorted(starts, edges)
@@ -157,15 +187,37 @@ def pack(ids: list[int]) -> bytes:
     return struct.pack(f"<{len(ids)}I", *ids)
 
 
+def _byte_letters() -> dict[str, int]:
+    """The byte behind each letter of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from U+0100."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in shown]
+    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
+    """Ranks and special strings of a rank file, or of a byte-level ``.json`` file whose ids follow its merges."""
+    if not path.endswith(".json"):
+        with open(path, "rb") as f:
+            return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}, {}
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["normalizer"] is not None or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
+        raise ValueError("only byte-level tokenizers without a normalizer are supported")
+    unbyte = _byte_letters()
+    special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+    return {bytes(unbyte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}, special
+
+
 class PairMerger:
     """Ids of pre-tokens by the ranks of byte pairs, packed, in a bounded cache."""
 
     def __init__(self, path: str):
         import tiktoken
 
-        with open(path, "rb") as f:
-            self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.tokens = {b: a for a, b in self.ranks.items()}
+        self.ranks, self.special = read_vocabulary(path)
+        self.tokens = {b: a for a, b in self.ranks.items()} | {i: t.encode() for t, i in self.special.items()}
+        self._parts = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
+        self.classes = LibraryClasses(path) if path.endswith(".json") else None
         self.cache: dict[str, bytes] = {}
         # the pattern takes a slice whole: the library only merges pairs
         self._merge = tiktoken.Encoding("slices", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
@@ -207,8 +259,17 @@ class PairMerger:
                     cache[t] = pack(self.merged(t))
             return [cache[t] for t in tokens]
 
-    def encode(self, text: str) -> bytes:
-        return b"".join(self.packed(pre_tokenise([text])[0][0]))
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The packed ids of each text; special strings of the vocabulary are one id each."""
+        if not any(s in t for t in texts for s in self.special):
+            return self.encode_ordinary(texts)
+        split = [self._parts.split(t) for t in texts]
+        ordinary = iter(self.encode_ordinary([p for parts in split for p in parts[::2]]))
+        marks = [[pack([self.special[p]]) for p in parts[1::2]] for parts in split]
+        return [b"".join(next(ordinary) + m for m in [*some, b""]) for some in marks]
+
+    def encode_ordinary(self, texts: list[str]) -> list[bytes]:
+        return [b"".join(self.packed(tokens)) for tokens, _ in pre_tokenise(texts, self.classes)]
 
     def decode(self, packed: bytes) -> bytes:
         return b"".join(map(self.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))

@@ -82,15 +82,15 @@ def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
 
-def number_within(df: DataFrame, group: str, order: list[str], blocks: int, out: str) -> DataFrame:
+def number_within(df: DataFrame, group: str, order: list[str], blocks: int | Column, out: str) -> DataFrame:
     """``df`` with a gapless long ``out`` from 0 within each value of ``group``, whatever the group's size.
 
-    A group is split into ``blocks`` blocks by a hash of ``order``; rows are ranked
-    inside their block and shifted by the number of rows in the blocks before. So a
+    A group is split into ``blocks`` blocks (a column: for each group as many as it
+    needs) by a hash of ``order``; rows are ranked inside their block and shifted by the number of rows in the blocks before. So a
     group that holds a third of all rows is still many small tasks, and the counts
     that move are one row a group and block.
     """
-    rows = df.withColumn("_block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    rows = df.withColumn("_block", F.pmod(F.xxhash64(*order), blocks if isinstance(blocks, Column) else F.lit(blocks)).cast("int"))
     counts = rows.groupBy(group, "_block").count()
     before = Window.partitionBy(group).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     shift = counts.select(

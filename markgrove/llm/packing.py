@@ -26,45 +26,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import number_within, settle
+from .bpe import BATCH_BYTES, pair_merger
+from .common import number_within, settle, slices
 
 CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are ranked together, about.
 BLOCK_ROWS = 20_000
-_ENCODERS: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """The ids of byte_bpe_50k.json: the same vocabulary as ranks, with its special token recognised in texts."""
-    if path not in _ENCODERS:
-        import json
-
-        import public_tokenizers
-        import tiktoken
-
-        with open(path, encoding="utf-8") as f:
-            spec = json.load(f)
-        unbyte = _byte_letters()
-        if spec["normalizer"] is not None or spec["pre_tokenizer"] != {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": True}:
-            raise ValueError("only byte-level tokenizers without a normalizer are supported")
-        special = {t["content"]: t["id"] for t in spec["added_tokens"]}
-        vocab = spec["model"]["vocab"]
-        ranks = {bytes(unbyte[c] for c in token): i for token, i in vocab.items() if token not in special}
-        encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=special)
-
-        def ids(text: str) -> np.ndarray:
-            return np.array(encoding.encode(text, allowed_special="all"), "<u4")
-
-        _ENCODERS[path] = ids
-    return _ENCODERS[path]
-
-
-def _byte_letters() -> dict[str, int]:
-    """The byte behind each letter of a byte-level vocabulary: printable Latin-1 stands for itself, the rest follow from U+0100."""
-    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
-    rest = [b for b in range(256) if b not in shown]
-    return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -79,11 +47,11 @@ def tokenised_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, key:
     """One row per piece: key, piece, start, length, ids_crc32."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(path)
-        for batch in batches:
+        merger = pair_merger(path)
+        for batch in (s for b in batches for s in slices(b, 1, BATCH_BYTES)):
             owner, piece, start, length, crc = [], [], [], [], []
-            for i, t in enumerate(batch.column(1)):
-                packed = encode(t.as_py() or "").tobytes() + END_ID.to_bytes(4, "little")
+            for i, ids in enumerate(merger.encode([t.as_py() or "" for t in batch.column(1)])):
+                packed = ids + END_ID.to_bytes(4, "little")
                 for k, (s, n) in enumerate(cut(len(packed) // 4, capacity)):
                     owner.append(i)
                     piece.append(k)
@@ -183,8 +151,9 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, key: st
     pieces = settle(tokenised_pieces(docs, path, capacity, key, text), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     first_key, copies, first_sequence, first_offset = _places(plan_sequences(histogram, capacity))
-    blocks = max(1, max(histogram.values(), default=0) // BLOCK_ROWS + 1) * 4
-    ranked = number_within(pieces, "length", [key, "piece", "ids_crc32", "start"], blocks, "nth")
+    blocks = docs.sparkSession.createDataFrame([(n, count // BLOCK_ROWS + 1) for n, count in histogram.items()], "_length long, _blocks long")
+    pieces = pieces.join(F.broadcast(blocks), F.col("length") == F.col("_length")).drop("_length")
+    ranked = number_within(pieces, "length", [key, "piece", "ids_crc32", "start"], F.col("_blocks"), "nth")
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

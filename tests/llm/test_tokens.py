@@ -28,19 +28,21 @@ text = st.lists(st.sampled_from(PIECES), max_size=30).map("".join)
 def tools():
     merger = bpe.PairMerger(RANKS)
     reference = tiktoken.Encoding("test", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merger.ranks, special_tokens={})
-    return merger, reference, Tokenizer.from_file(WORDS), token_counts.PieceCounter(WORDS), Tokenizer.from_file(BYTES), packing.encoder(BYTES)
+    return merger, reference, Tokenizer.from_file(WORDS), token_counts.PieceCounter(WORDS), Tokenizer.from_file(BYTES), bpe.PairMerger(BYTES)
 
 
 @settings(max_examples=400, deadline=None)
 @given(text)
 def test_all_three_agree_with_the_libraries(tools, t):
-    merger, reference, words, counter, byte_level, encode = tools
+    merger, reference, words, counter, byte_level, own = tools
     assert bpe.pre_tokenise([t])[0][0] == regex.findall(public_tokenizers.PATTERN, t)
-    packed = merger.encode(t)
+    packed = merger.encode([t])[0]
     assert np.frombuffer(packed, "<u4").tolist() == reference.encode_ordinary(t)
     assert merger.decode(packed) == t.encode()
     assert counter.count(t) == len(words.encode(t, add_special_tokens=False).ids)
-    assert encode(t).tolist() == byte_level.encode(t, add_special_tokens=False).ids
+    ids = own.encode(["x", t])[1]
+    assert np.frombuffer(ids, "<u4").tolist() == byte_level.encode(t, add_special_tokens=False).ids
+    assert own.decode(ids) == t.encode()
 
 
 def test_batches_are_scanned_like_single_texts():
@@ -51,10 +53,32 @@ def test_batches_are_scanned_like_single_texts():
         assert [t[a : a + len(x)] for a, x in zip(offsets, tokens, strict=True)] == tokens
 
 
+def test_every_code_point_is_split_and_counted_as_the_libraries_do(tools):
+    merger, reference, words, counter, byte_level, own = tools
+    # of the large uniform blocks every 61st
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000 and (c % 61 == 0 or not (0x3500 <= c < 0x9F00 or 0xAC10 <= c < 0xD790 or 0xE010 <= c < 0xF8F0 or c >= 0x20000))]
+    for i in range(0, len(points), 2048):
+        some = points[i : i + 2048]
+        t = "".join(f"a{c}b1{c}2!{c}? {c}{c} \n" for c in some)
+        assert np.frombuffer(merger.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == byte_level.encode(t, add_special_tokens=False).ids
+        t = " ".join(f"a{c}b1{c}2!{c}?" for c in some)
+        assert sum(map(counter.count, ["", t])) == len(words.encode(t, add_special_tokens=False).ids)
+    for t in ("a\u0558" + "1 \u0558b", "x\u0c5cy \ua7ce1", "\U00010940s"):
+        assert counter.count(t) == len(words.encode(t, add_special_tokens=False).ids)
+
+
+def test_long_texts_are_encoded_like_the_libraries_do(tools):
+    _, _, words, counter, byte_level, own = tools
+    for t in (" " * 2_000_000 + "x", "ab-12/" * 166_667, "\n" * 1_000_000, "x" * 100_000):
+        assert np.frombuffer(own.encode([t])[0], "<u4").tolist() == byte_level.encode(t, add_special_tokens=False).ids
+        assert counter.count(t) == len(words.encode(t, add_special_tokens=False).ids)
+
+
 def test_long_runs_merge_like_the_library(tools):
     merger, reference, *_ = tools
     for t in ("ab" * 3000, "世" * 2000, "the" * 1000):
-        assert np.frombuffer(merger.encode(t), "<u4").tolist() == reference.encode_ordinary(t)
+        assert np.frombuffer(merger.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
 
 
 def test_caches_may_be_emptied_at_any_time(tools, monkeypatch):
@@ -63,7 +87,7 @@ def test_caches_may_be_emptied_at_any_time(tools, monkeypatch):
     merger, reference, words, *_ = tools
     counter = token_counts.PieceCounter(WORDS)
     for t in ("a b c d e f g", "h i j a b", "a a a z"):
-        assert np.frombuffer(merger.encode(t), "<u4").tolist() == reference.encode_ordinary(t)
+        assert np.frombuffer(merger.encode([t])[0], "<u4").tolist() == reference.encode_ordinary(t)
         assert counter.count(t) == len(words.encode(t, add_special_tokens=False).ids)
 
 

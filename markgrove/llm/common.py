@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from ..deploy import ship_package
 
+#: A key with more than HOT_ROWS rows, and than this share of all of them, is hot: there are at most 1/HOT_SHARE such keys.
+HOT_SHARE, HOT_ROWS = 1e-5, 1000
 #: Rows in one Arrow batch, at most.
 BATCH_ROWS = 1000
 _OWN_DIR: list[str] = []
@@ -102,6 +104,29 @@ def number_within(df: DataFrame, group: str, order: list[str], blocks: int | Col
     return joined.withColumn(out, (F.col("_before") + F.col("_rank")).cast("long")).drop("_g", "_b", "_before", "_rank", "_block")
 
 
+def join_groups(rows: DataFrame, groups: DataFrame, key: str, by: str, size: str) -> DataFrame:
+    """``rows`` joined to ``groups``, which has one row a ``key`` and in ``size`` the number of rows with it.
+
+    Rows of a hot key are dealt over parts by a hash of ``by``, and its group goes to
+    each part, so that no task gets a whole hot group. The hot keys are broadcast:
+    they are at most 1/HOT_SHARE. ``groups`` is read twice more: pass it settled, or small.
+    """
+    total = groups.agg(F.sum(size)).first()[0] or 0
+    least = max(HOT_ROWS, int(total * HOT_SHARE))
+    hot = groups.where(F.col(size) > least).select(F.col(key).alias("_hot"), F.ceil(F.col(size) / least).cast("int").alias("_parts"))
+    if not hot.head(1):
+        return rows.join(groups, key)
+    hot = F.broadcast(hot)
+
+    def dealt(df: DataFrame, part: Callable[[Column], Column]) -> DataFrame:
+        df = df.join(hot, F.col(key) == F.col("_hot"), "left").withColumn("_parts", F.coalesce("_parts", F.lit(1)))
+        return df.withColumn("_part", part(F.col("_parts"))).drop("_hot", "_parts")
+
+    left = dealt(rows, lambda n: F.pmod(F.xxhash64(by), n).cast("int"))
+    right = dealt(groups, lambda n: F.explode(F.sequence(F.lit(0), n - 1)))
+    return left.join(right, [key, "_part"]).drop("_part")
+
+
 def slices(batch: pa.RecordBatch, column: int, size: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """``batch`` in consecutive parts, without copying, of about ``size`` bytes of a string ``column``; a longer text stands alone."""
     lengths = pc.binary_length(batch.column(column)).fill_null(0).to_pylist()

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle
+from .common import join_groups, settle
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -19,13 +19,14 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
         near = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     else:
         near = edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-    least = near.groupBy("a").agg(F.min("b").alias("_m")).select(F.col("a").alias("_a"), F.least("_a", "_m").alias("_m"))
-    joined = near.join(least, F.col("a") == F.col("_a"))
+    least = near.groupBy("a").agg(F.min("b").alias("_m"), F.count("*").alias("_n")).select("a", F.least("a", "_m").alias("_m"), "_n")
+    # the centre of a star may have most nodes as neighbours
+    joined = join_groups(near, least, "a", "b", "_n")
     if large:
         moved = joined.where(F.col("b") > F.col("a")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
     else:
         moved = joined.where(F.col("b") != F.col("_m")).select(F.col("b").alias("a"), F.col("_m").alias("b"))
-        moved = moved.unionByName(least.select(F.col("_a").alias("a"), F.col("_m").alias("b")))
+        moved = moved.unionByName(least.select("a", F.col("_m").alias("b")))
     return moved.where("a <> b").distinct()
 
 
@@ -34,7 +35,8 @@ def _settled(edges: DataFrame) -> bool:
     links, leaves = edges.agg(F.count("*"), F.countDistinct("a")).first()
     if links != leaves:
         return False
-    return not edges.join(edges.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").head(1)
+    centres = edges.select("b").distinct()
+    return not centres.join(edges.select(F.col("a").alias("_a")), F.col("b") == F.col("_a"), "left_semi").head(1)
 
 
 def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
@@ -42,7 +44,8 @@ def components(edges: DataFrame, a: str, b: str, name: str) -> DataFrame:
     links = edges.select(F.greatest(a, b).alias("a"), F.least(a, b).alias("b")).where("a <> b").distinct()
     links = settle(links, name)
     while not _settled(links):
-        links = settle(_star(_star(links, large=True), large=False), name)
+        links = settle(_star(links, large=True), name)
+        links = settle(_star(links, large=False), name)
     # now every link joins a node to the least of its component
     roots = links.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
     return links.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)

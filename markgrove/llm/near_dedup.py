@@ -9,16 +9,23 @@ common are candidates. For a similarity s, a pair is missed with probability
 Steps: texts with equal shingle sets become one class (its least id stands for
 it). Each bucket links its members to its least member, so candidates grow with
 the bucket's size, not its square; these star links are confirmed on full sets.
-That settles buckets that are one near-copy group. What is left are candidate
-components that confirmed links do not join up; their members meet in bounded
-blocks, where all pairs of different confirmed components are tested exactly
-through an inverted index. No bucket, partner or candidate is capped.
+That settles buckets that are one near-copy group. What is left are the members of
+buckets that confirmed links do not join up. For these an exact prefix filter
+follows: shingles are ordered by how many of these texts have them, those that occur
+in one confirmed component only first of all; two linked texts of different
+components must share one of the first n - ceil(n * percent / 100) + 1 shingles of
+each. Texts with too few shared shingles, such as pages that have a boilerplate in
+common, leave here. Only texts that share a shingle of that prefix meet in bounded
+blocks, where all pairs of different confirmed components are tested exactly through
+an inverted index. No bucket, partner or candidate is capped. All this grows with the
+texts but for one case: a group of many texts whose similarities all lie a little
+below the threshold is tested pair by pair, in blocks.
 
 Defined results: null, empty and blank texts have the empty set and are linked
 with nothing; rows without an id as well (their component is null, and they are
 kept); rows that share an id count as one document for links, and each gets its
 component; equal sets are linked; an empty table gives no rows; extra columns are
-not read.
+not read. ``keep_one`` keeps one of several rows with one id and one text.
 """
 
 from __future__ import annotations
@@ -28,10 +35,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import settle, slices
+from .common import join_groups, settle, slices
 from .components import components
 from .shingles import mix, shingle_sets
 
@@ -70,7 +77,7 @@ def _set_key(s: np.ndarray) -> bytes:
 
 
 def sketches(docs: DataFrame, words: int, half: int, tables: int, key: str, text: str) -> DataFrame:
-    """key, n_shingles, set_key and halves (null for the empty set)."""
+    """key, n_shingles, set_key, halves (null for the empty set) and digest (of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, 1)):
@@ -79,12 +86,16 @@ def sketches(docs: DataFrame, words: int, half: int, tables: int, key: str, text
             keys = iter(half_keys(full, half, tables)) if full else iter(())
             halves = [next(keys) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array(halves, pa.list_(pa.int64()))],
-                names=[key, "n_shingles", "set_key", "halves"],
+                [batch.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array([_set_key(s) for s in sets], pa.binary()), pa.array(halves, pa.list_(pa.int64())), batch.column(2)],
+                names=[key, "n_shingles", "set_key", "halves", "digest"],
             )
 
-    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text))
-    return rows.mapInArrow(run, f"`{key}` long, n_shingles long, set_key binary, halves array<long>")
+    rows = docs.select(F.col(key).cast("long").alias(key), F.col(text).alias(text), _digest(text).alias("digest"))
+    return rows.mapInArrow(run, f"`{key}` long, n_shingles long, set_key binary, halves array<long>, digest binary")
+
+
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit(""))))
 
 
 def _entries(classes: DataFrame, tables: int) -> DataFrame:
@@ -117,8 +128,8 @@ def linked(common: np.ndarray, a: int, b: np.ndarray, percent: int) -> np.ndarra
 
 def _confirm_stars(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The links among candidate ``pairs`` (hub, class). A hub's members are dealt over parts; its set goes to each."""
-    parts = pairs.groupBy("hub").agg(F.ceil(F.count("*") / STAR_ROWS).alias("_parts"))
-    dealt = pairs.join(parts, "hub").withColumn("part", F.pmod(F.xxhash64("class"), F.col("_parts")).cast("int"))
+    parts = pairs.groupBy("hub").agg(F.count("*").alias("_n"))
+    dealt = join_groups(pairs, parts, "hub", "class", "_n").withColumn("part", F.pmod(F.xxhash64("class"), F.ceil(F.col("_n") / STAR_ROWS)).cast("int"))
     members = dealt.select("hub", "part", "class").join(sets, "class").select("hub", "part", "class", "set")
     hubs = dealt.select("hub", "part").distinct().join(sets.withColumnRenamed("class", "hub"), "hub")
     hubs = hubs.select("hub", "part", F.lit(None).cast("long").alias("class"), "set")
@@ -170,25 +181,72 @@ def block_links(ids: np.ndarray, sets: list[np.ndarray], side: np.ndarray, joine
     return out
 
 
-def _residual_links(candidate: DataFrame, confirmed: DataFrame, classes: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The links that stars did not settle: within candidate components that confirmed links leave apart."""
-    nodes = candidate.select(F.col("node").alias("class"), F.col("component").alias("group"))
-    nodes = nodes.join(confirmed.select(F.col("node").alias("class"), "component"), "class", "left")
-    nodes = nodes.select("class", "group", F.coalesce("component", "class").alias("joined"))
-    open_groups = nodes.groupBy("group").agg(F.min("joined").alias("_low"), F.max("joined").alias("_high")).where("_low <> _high")
-    nodes = settle(nodes.join(open_groups.select("group"), "group").join(classes.select("class", "n_shingles"), "class"), "open")
-    chunks = nodes.groupBy("group").agg(F.ceil(F.sum(F.col("n_shingles") + 32) / CHUNK_SHINGLES).cast("int").alias("_chunks"))
-    nodes = nodes.join(chunks, "group").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("_chunks")).cast("int"))
+def _open_sets(pairs: DataFrame, confirmed: DataFrame, sets: DataFrame) -> DataFrame:
+    """class, joined (its confirmed component) and set of the members of buckets that confirmed links leave apart."""
+    part = confirmed.select(F.col("node").alias("_node"), F.col("component").alias("_part"))
+    hubs = pairs.select("hub").distinct().join(part, F.col("hub") == F.col("_node"), "left").select("hub", F.coalesce("_part", "hub").alias("_hub_part"))
+    sizes = pairs.groupBy("hub").agg(F.count("*").alias("_n"))
+    hubs = settle(hubs.join(sizes, "hub"), "hubs")
+    members = join_groups(pairs, hubs, "hub", "class", "_n").select("hub", "_hub_part", "class")
+    members = members.join(part, F.col("class") == F.col("_node"), "left").select("hub", "_hub_part", "class", F.coalesce("_part", "class").alias("joined"))
+    members = settle(members, "members")
+    apart = members.where(F.col("joined") != F.col("_hub_part")).groupBy("hub").agg(F.first("_hub_part").alias("_hub_part"))
+    apart = settle(apart.join(sizes, "hub"), "apart")
+    opened = join_groups(members.select("hub", "class", "joined"), apart.select("hub", "_n"), "hub", "class", "_n").select("class", "joined")
+    opened = opened.unionByName(apart.select(F.col("hub").alias("class"), F.col("_hub_part").alias("joined"))).distinct()
+    return settle(opened.join(sets, "class"), "open")
+
+
+def _exploded(opened: DataFrame) -> DataFrame:
+    """One row per shingle of each set: shingle, class, joined, n (the set's size)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in (s for b in batches for s in slices(b, 2)):
+            sets = [np.frombuffer(p.as_buffer(), np.int64) for p in batch.column(2)]
+            sizes = np.array([len(s) for s in sets], np.int64)
+            owner = pa.array(np.repeat(np.arange(len(sets)), sizes))
+            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(flat), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.repeat(sizes, sizes))], names=["shingle", "class", "joined", "n"]
+            )
+
+    return opened.select("class", "joined", "set").mapInArrow(run, "shingle long, class long, joined long, n long")
+
+
+def _prefix_groups(opened: DataFrame, percent: int) -> DataFrame:
+    """node and component of the texts that share a shingle of their prefixes, directly or through others."""
+    rows = _exploded(opened)
+    shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("joined").alias("_low"), F.max("joined").alias("_high")).where("_low <> _high").select("shingle", "df")
+    shared = settle(shared, "shared")
+    mine = join_groups(rows.select("shingle", "class", "n"), shared, "shingle", "class", "df")
+    mine = mine.groupBy("class").agg(F.max("n").alias("n"), F.collect_set(F.struct("df", "shingle")).alias("mine"))
+    # what two sets have in common is at least this much of each
+    needed = F.ceil(F.col("n") * percent / 100)
+    mine = mine.withColumn("_r", (F.size("mine") - needed + 1).cast("int")).where("_r > 0")
+    prefix = settle(mine.select("class", F.explode(F.slice(F.array_sort("mine"), F.lit(1), F.col("_r"))).alias("_s")).select("class", "_s.shingle"), "prefix")
+    hubs = prefix.groupBy("shingle").agg(F.min("class").alias("hub"), F.max("class").alias("_last"), F.count("*").alias("_n")).where("hub <> _last")
+    links = join_groups(prefix, settle(hubs.drop("_last"), "prefix_hubs"), "shingle", "class", "_n").where("class <> hub").select("hub", "class").distinct()
+    return components(links, "hub", "class", "prefix_groups")
+
+
+def _residual_links(pairs: DataFrame, confirmed: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The links that stars did not settle."""
+    opened = _open_sets(pairs, confirmed, sets)
+    if not opened.head(1):
+        return sets.sparkSession.createDataFrame([], "a long, b long")
+    groups = _prefix_groups(opened, percent).select(F.col("node").alias("class"), F.col("component").alias("group"))
+    nodes = settle(groups.join(opened.select("class", "joined", (F.octet_length("set") / 8).cast("long").alias("n")), "class"), "nodes")
+    chunks = nodes.groupBy("group").agg(F.ceil(F.sum(F.col("n") + 32) / CHUNK_SHINGLES).cast("int").alias("_chunks"), F.min("joined").alias("_low"), F.max("joined").alias("_high"), F.count("*").alias("_n"))
+    chunks = chunks.where("_low <> _high").select("group", "_chunks", "_n")
+    nodes = join_groups(nodes, chunks, "group", "class", "_n").withColumn("chunk", F.pmod(F.xxhash64("class"), F.col("_chunks")).cast("int"))
     nodes = nodes.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_chunks") - 1)))
-    blocks = nodes.select(
-        "group", F.least("chunk", "_other").alias("low"), F.greatest("chunk", "_other").alias("high"), "chunk", "joined", "class"
-    ).join(sets, "class")
-    blocks = blocks.select("group", "low", "high", "chunk", "joined", "class", "set")
+    blocks = nodes.select("group", F.least("chunk", "_other").alias("low"), F.greatest("chunk", "_other").alias("high"), "chunk", "class")
+    blocks = blocks.join(opened, "class").select("group", "low", "high", "chunk", "joined", "class", "set")
     rows = blocks.repartition("group", "low", "high").sortWithinPartitions("group", "low", "high", "class")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def test(block: list) -> pa.RecordBatch:
-            once = {r[1]: r for r in block}.values()  # an id that several rows share comes once
+            once = {(r[1], r[3].tobytes()): r for r in block}.values()  # rows that share id and text come once
             chunk, ids, joined, sets = (list(c) for c in zip(*once, strict=True))
             found = block_links(np.array(ids), sets, (np.array(chunk) != chunk[0]).astype(int), np.array(joined), percent)
             a, b = zip(*found, strict=True) if found else ((), ())
@@ -209,43 +267,55 @@ def _residual_links(candidate: DataFrame, confirmed: DataFrame, classes: DataFra
     return rows.mapInArrow(run, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, tables: int = TABLES,
-                    key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per row of ``docs``: key, n_shingles, component_id, kept. Links have 100 * common >= percent * union."""
+def _labelled(docs: DataFrame, words: int, percent: int, half: int, tables: int, key: str, text: str) -> DataFrame:
+    """``near_duplicates`` with the digest of each text."""
     drawn = settle(sketches(docs, words, half, tables, key, text), "sketches")
     real = drawn.where(F.col(key).isNotNull() & F.col("halves").isNotNull())
-    classes = real.groupBy("set_key").agg(F.min(F.struct(F.col(key).alias("class"), "n_shingles", "halves")).alias("_c"))
-    classes = settle(classes.select("set_key", "_c.class", "_c.n_shingles", "_c.halves"), "classes")
+    classes = real.groupBy("set_key").agg(F.min(F.struct(F.col(key).alias("class"), "n_shingles", "halves")).alias("_c"), F.count("*").alias("rows"))
+    classes = settle(classes.select("set_key", "_c.class", "_c.halves", "rows"), "classes")
 
-    buckets = _entries(classes, tables).groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("_last")).where("hub <> _last")
-    pairs = _entries(classes, tables).join(buckets, "bucket").where("class <> hub").select("hub", "class").distinct()
+    buckets = _entries(classes, tables).groupBy("bucket").agg(F.min("class").alias("hub"), F.max("class").alias("_last"), F.count("*").alias("_n")).where("hub <> _last")
+    buckets = settle(buckets.drop("_last"), "buckets")
+    pairs = join_groups(_entries(classes, tables), buckets, "bucket", "class", "_n").where("class <> hub").select("hub", "class").distinct()
     pairs = settle(pairs, "pairs")
 
-    size = classes.select(F.col("class").alias("_id"), F.col("n_shingles").alias("_n"))
-    near = pairs.join(size, F.col("hub") == F.col("_id")).select("hub", "class", F.col("_n").alias("_hub_n"))
-    near = near.join(size, F.col("class") == F.col("_id"))
-    near = near.where(100 * F.least("_n", "_hub_n") >= percent * F.greatest("_n", "_hub_n")).select("hub", "class")
-
     nodes = pairs.select("class").union(pairs.select(F.col("hub").alias("class"))).distinct()
     sets = settle(_sets(docs, classes.select("class", "set_key").join(nodes, "class", "left_semi"), words, key, text), "sets")
+    size = sets.select(F.col("class").alias("_id"), (F.octet_length("set") / 8).cast("long").alias("_n"))
+    hub_size = pairs.select(F.col("hub").alias("_hub")).distinct().join(size, F.col("_hub") == F.col("_id")).select("_hub", F.col("_n").alias("_hub_n"))
+    hub_size = settle(hub_size.join(pairs.groupBy("hub").agg(F.count("*").alias("_members")), F.col("hub") == F.col("_hub")).select("hub", "_hub_n", "_members"), "hub_sizes")
+    near = join_groups(pairs, hub_size, "hub", "class", "_members").select("hub", "class", "_hub_n").join(size, F.col("class") == F.col("_id"))
+    near = settle(near.where(100 * F.least("_n", "_hub_n") >= percent * F.greatest("_n", "_hub_n")).select("hub", "class").distinct(), "near")
     stars = settle(_confirm_stars(near, sets, percent), "stars")
-    candidate = components(pairs, "hub", "class", "candidate")
     confirmed = components(stars, "a", "b", "confirmed")
-    rest = settle(_residual_links(candidate, confirmed, classes, sets, percent), "rest")
+    rest = settle(_residual_links(pairs, confirmed, sets, percent), "rest")
     final = components(stars.unionByName(rest), "a", "b", "final") if rest.head(1) else confirmed
 
-    named = classes.select(F.col("set_key").alias("_set_key"), "class").join(final, F.col("class") == F.col("node"), "left")
-    named = named.select("_set_key", F.coalesce("component", "class").alias("_component"))
-    joined = drawn.join(named, (F.col("set_key") == F.col("_set_key")) & F.col("halves").isNotNull() & F.col(key).isNotNull(), "left")
+    # one row a set of words; the copies of one text are dealt over parts
+    named = classes.select("set_key", "class", "rows").join(final, F.col("class") == F.col("node"), "left")
+    named = settle(named.select("set_key", F.coalesce("component", "class").alias("_component"), F.col("rows").alias("_n")), "named")
+    rest = drawn.where(F.col(key).isNull() | F.col("halves").isNull()).select(key, "n_shingles", "digest", F.col(key).alias("_component"))
+    rows = join_groups(real.select(key, "n_shingles", "digest", "set_key"), named, "set_key", key, "_n").select(key, "n_shingles", "digest", "_component").unionByName(rest)
     component = F.coalesce("_component", key)
-    return joined.select(key, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"))
+    return rows.select(key, "n_shingles", component.alias("component_id"), component.eqNullSafe(F.col(key)).alias("kept"), "digest")
+
+
+def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, tables: int = TABLES,
+                    key: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row per row of ``docs``: key, n_shingles, component_id, kept. Links have 100 * common >= percent * union."""
+    return _labelled(docs, words, percent, half, tables, key, text).drop("digest")
 
 
 def keep_one(docs: DataFrame, words: int = 5, percent: int = 80, half: int = HALF, tables: int = TABLES,
              key: str = "doc_id", text: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate group, that of least id; columns as they were."""
-    extra = settle(near_duplicates(docs, words, percent, half, tables, key, text).where(~F.col("kept")).select(F.col(key).alias("_id")), "extra")
-    if extra.count() <= BROADCAST_ROWS:
-        extra = F.broadcast(extra)
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("_own"))
-    return rows.join(extra, F.col("_own") == F.col("_id"), "left_anti").select("row.*")
+    labelled = settle(_labelled(docs, words, percent, half, tables, key, text), "labelled").where(F.col(key).isNotNull())
+    texts = labelled.groupBy(F.col(key).alias("_id"), F.col("digest").alias("_text")).agg(F.bool_or("kept").alias("_kept"), F.count("*").alias("_rows"))
+    odd = settle(texts.where("NOT _kept OR _rows > 1"), "odd")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col(key).cast("long").alias("_own"), _digest(text).alias("_own_text"))
+    rows = rows.join(F.broadcast(odd) if odd.count() <= BROADCAST_ROWS else odd, (F.col("_own") == F.col("_id")) & (F.col("_own_text") == F.col("_text")), "left")
+    kept = rows.where(F.col("_kept").isNull()).select("row.*")
+    if not odd.where("_kept").head(1):
+        return kept
+    # of the rows that repeat an id and a text, one
+    return kept.unionByName(rows.where("_kept").dropDuplicates(["_own", "_own_text"]).select("row.*"))

@@ -6,13 +6,15 @@ import re
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from test_tokens import check_packing
 
 import corpus_pipeline
-from markgrove.llm import ann, near_dedup, quality, warc
+from markgrove.llm import ann, common, near_dedup, quality, warc
 from markgrove.llm.components import components
+from markgrove.llm.shingles import shingle_sets
 
 FOLD = str.maketrans({chr(c): chr(c + 32) for c in range(65, 91)})
 
@@ -71,6 +73,7 @@ def corpus(seed=5):
 def test_near_duplicates_equal_brute_force(spark, monkeypatch, words, percent, tables, chunk, star):
     monkeypatch.setattr(near_dedup, "CHUNK_SHINGLES", chunk)
     monkeypatch.setattr(near_dedup, "STAR_ROWS", star)
+    monkeypatch.setattr(common, "HOT_ROWS", star)  # with 3 most groups are hot
     docs = corpus()
     rows = near_dedup.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string").repartition(5), words, percent, tables=tables).collect()
     want, sets = brute_components(docs, words, percent)
@@ -92,6 +95,30 @@ def test_near_duplicates_of_odd_rows(odd, none):
     assert kept.columns == odd.columns and sorted(str(r.doc_id) for r in kept.collect()) == sorted(str(r.doc_id) for r in odd.collect() if r.doc_id != 7)
 
 
+def test_texts_with_a_common_boilerplate_leave_at_the_prefix(spark):
+    """Similarity of about 0.3 fills buckets with texts that are no copies; none of them meets another in a block."""
+    rng = random.Random(2)
+    text = lambda n: [f"w{rng.randrange(10**9)}" for _ in range(n)]
+    passage = text(60)
+    docs = [(i, " ".join(text(35) + passage + text(30))) for i in range(600)]
+    near = docs[7][1].split()
+    near[3] = "changed"
+    docs.append((1000, " ".join(near)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    want, _ = brute_components(docs, 3, 85)
+    assert {r.doc_id: r.component_id for r in near_dedup.near_duplicates(df, 3, 85).collect()} == want and want[1000] == 7
+    sets = near_dedup._sets(df, spark.createDataFrame([(i, near_dedup._set_key(s)) for (i, _), s in zip(docs, shingle_sets(pa.array([t for _, t in docs]), 3))], "class long, set_key binary"), 3, "doc_id", "text")
+    opened = sets.select("class", F.col("class").alias("joined"), "set")
+    assert {r.node for r in near_dedup._prefix_groups(opened, 85).collect()} == {7, 1000}
+
+
+def test_rows_that_share_an_id_are_kept_by_their_text(spark):
+    a, b = "one text that both of these rows have", "quite another text that nothing else is like"
+    rows = [(1, a, 0), (7, a, 1), (7, b, 2), (9, b + " x y z", 3), (9, b + " x y z", 4), (None, a, 5), (None, a, 6)]
+    kept = near_dedup.keep_one(spark.createDataFrame(rows, "doc_id long, text string, n int"), 3, 85).collect()
+    assert sorted(r.n for r in kept if r.n not in (3, 4)) == [0, 2, 5, 6] and len(kept) == 5
+
+
 def test_tensoring_rarely_misses():
     assert near_dedup.miss_probability(0.85) < 0.001 and near_dedup.miss_probability(0.8, 3, 10) < 0.002
     rng = np.random.default_rng(0)

@@ -179,6 +179,27 @@ def test_neighbours_recall_and_exact_scores(spark, monkeypatch):
     assert sum(len(set(got[q]) & set(want[q])) for q in want) >= 0.9 * sum(map(len, want.values()))
 
 
+def test_settings_follow_the_data():
+    """Clusters are found with few visits, and with a smaller share of them as the table grows."""
+    rng = np.random.default_rng(5)
+    shares = []
+    for n in (2000, 16000):
+        centres = rng.normal(size=(n // 100, 32))
+        points = centres[rng.integers(0, len(centres), n)] + 0.3 * rng.normal(size=(n, 32))
+        q, own = points[:1000:20], np.arange(0, 1000, 20)
+        score = q @ points.T
+        score[np.arange(len(q)), own] = -np.inf
+        lifted = ann.lift(points, np.linalg.norm(points, axis=1).max())
+        setting = ann.choose(q, [lifted[i] for i in np.argsort(-score, axis=1)[:, :20]], lifted[::2], n)
+        assert setting.recall >= ann.TARGET and setting == ann.choose(q, [lifted[i] for i in np.argsort(-score, axis=1)[:, :20]], lifted[::2], n)
+        codes = [set(c.tolist()) for c in setting.probed(q, 0)]
+        ranks = setting.ranks(q, lifted, 0)
+        bucket = ann._code(setting.cells(lifted, 0)[0])
+        assert all((r < setting.probes).tolist() == [b in c for b in bucket.tolist()] for r, c in zip(ranks, codes, strict=True))
+        shares.append(setting.visited)
+    assert shares[1] < 0.7 * shares[0] < 0.3
+
+
 def test_neighbours_of_odd_vectors(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(0, [1.0, 0.0]), (1, None), (2, [0.0, 0.0]), (3, [nan, 1.0]), (4, [inf, 1.0]), (5, [1.0, None]), (6, []), (7, [1.0, 2.0, 3.0]), (20, [2.0, 0.0]), (21, [2.0, 0.0]), (None, [1.0, 1.0]), (22, [0.5, 0.5]), (22, [0.5, 0.5])]

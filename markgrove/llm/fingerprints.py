@@ -3,14 +3,16 @@
 A sketch keeps every shingle hash below 1/SCALE of the hash range. Which hashes
 stay does not depend on the document, so sketches merge by union, and the
 containment of a short text in a very long one can be estimated as well as their
-resemblance. So that short texts are not left without any, a sketch whose
-hashes all lie above the threshold holds the smallest of them; unrelated short
-texts then share nothing.
+resemblance. Beside them a sketch has ``least``, the smallest hash of the text,
+whether below the threshold or not. It merges by the minimum and takes no part in
+an estimate while one of the two sketches has a hash below the threshold; where
+neither has, it tells equal short texts from different ones.
 
 Words are split at runs of whitespace characters space, \\t..\\r and lower-cased;
 a shingle is five words, a text with one to four words is one shingle. A null,
-empty or blank text has the empty sketch; two empty sketches are alike (1.0), an
-empty and a non-empty one are not (0.0). Equal texts have equal fingerprints.
+empty or blank text has the empty sketch (its ``least`` is null); two empty sketches
+are alike (1.0), an empty and a non-empty one are not (0.0). Equal texts have equal
+fingerprints.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import once, settle, text_or_empty
 
 SHINGLE_WORDS = 5
-SCALE = 8
+SCALE = 4
 #: Ids of a block are consecutive integers, so that no block holds more distinct ids than this.
 BLOCK_BITS = 8
 #: Block heads up to this many are broadcast (16 bytes each); beyond it they are joined by a shuffle.
@@ -30,7 +32,7 @@ _LOWEST = -(2**63)
 
 
 def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Column:
-    """The sorted distinct hashes kept of ``text``, as array<bigint>."""
+    """The sketch of ``text`` as struct<hashes: array<bigint> (sorted, distinct), least: bigint>."""
     split = F.filter(F.split(F.lower(text), r"[\x20\t-\r]+"), lambda w: w != "")
     limit = F.lit(_LOWEST + 2**64 // scale)
 
@@ -41,32 +43,36 @@ def sketch(text: Column, words: int = SHINGLE_WORDS, scale: int = SCALE) -> Colu
         return F.when(F.size(tokens) == 0, F.array().cast("array<bigint>")).when(last < 0, one).otherwise(many)
 
     def keep(hashes: Column) -> Column:
-        low = F.filter(hashes, lambda h: h < limit)
-        return F.when(F.size(low) > 0, F.array_sort(F.array_distinct(low))).when(F.size(hashes) > 0, F.array(F.array_min(hashes))).otherwise(hashes)
+        return F.struct(F.array_sort(F.array_distinct(F.filter(hashes, lambda h: h < limit))).alias("hashes"), F.array_min(hashes).alias("least"))
 
     return once(once(split, shingles), keep)
 
 
-def as_text(hashes: Column) -> Column:
-    """A sketch as a string: sixteen hex digits a hash, in order."""
-    return F.array_join(F.transform(hashes, lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")), "")
+def as_text(a: Column) -> Column:
+    """A sketch as a string: sixteen hex digits a hash, in order; of a text with none ``<`` and those of the least."""
+    digits = lambda h: F.lpad(F.lower(F.hex(h)), 16, "0")
+    few = F.when(a["least"].isNull(), F.lit("")).otherwise(F.concat(F.lit("<"), digits(a["least"])))
+    return F.when(F.size(a["hashes"]) == 0, few).otherwise(F.array_join(F.transform(a["hashes"], digits), ""))
 
 
 def resemblance(a: Column, b: Column) -> Column:
     """Estimated Jaccard likeness of the texts behind two sketches."""
-    common = F.size(F.array_intersect(a, b))
-    total = F.size(a) + F.size(b) - common
-    return F.when(total == 0, F.lit(1.0)).otherwise(common / F.greatest(total, F.lit(1)))
+    common = F.size(F.array_intersect(a["hashes"], b["hashes"]))
+    total = F.size(a["hashes"]) + F.size(b["hashes"]) - common
+    return F.when(total == 0, a["least"].eqNullSafe(b["least"]).cast("double")).otherwise(common / F.greatest(total, F.lit(1)))
 
 
 def containment(a: Column, b: Column) -> Column:
-    """Estimated share of the first text's shingles that the second has."""
-    return F.when(F.size(a) == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / F.greatest(F.size(a), F.lit(1)))
+    """Estimated share of the first text's shingles that the second has; null if no hash of the first allows an estimate."""
+    n = F.size(a["hashes"])
+    estimate = F.size(F.array_intersect(a["hashes"], b["hashes"])) / F.greatest(n, F.lit(1))
+    few = F.when(a["least"].isNull() | (a["least"] == b["least"]), F.lit(1.0)).when(b["least"].isNull() | (a["least"] < b["least"]), F.lit(0.0))
+    return F.when(n > 0, estimate).otherwise(few)
 
 
 def merge(a: Column, b: Column) -> Column:
-    """The sketch of two texts taken together."""
-    return F.array_sort(F.array_union(a, b))
+    """The sketch of both texts' shingles taken together."""
+    return F.struct(F.array_sort(F.array_union(a["hashes"], b["hashes"])).alias("hashes"), F.least(a["least"], b["least"]).alias("least"))
 
 
 def next_ids(ids: DataFrame, key: str) -> DataFrame:
@@ -97,7 +103,9 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
     The edited text is the text with its last floor(n/2) code points replaced by
     the first as many of the next document by ascending key (the first one after
     the last). Texts move once, to the block of their id; only the first text of
-    each block moves a second time, to the end of the block before.
+    each block moves a second time, to the end of the block before. (Where ids lie so
+    far apart that most blocks have one document, most texts move twice.) Sketches
+    are made where the texts meet and never move.
 
     Defined results: null keys order before all others, as the lowest long;
     repeated keys follow each other by text; a lone document is its own next.
@@ -118,13 +126,13 @@ def fingerprint_documents(docs: DataFrame, key: str = "doc_id", text: str = "tex
         F.shiftright(own_id, BLOCK_BITS).alias("_block"), F.lit(False).alias("_head"),
     )
     heads = heads.select(F.lit(0).cast("long").alias("_id"), F.lit(None).cast("long").alias(key), "_text", F.col("_end").alias("_block"), F.lit(True).alias("_head"))
-    rows = rows.unionByName(heads).withColumn("_sketch", sketch(F.col("_text")))
+    rows = rows.unionByName(heads)
     order = Window.partitionBy("_block").orderBy("_head", "_id", "_text")
-    rows = rows.withColumns({"_n": F.lead("_text").over(order), "_ns": F.lead("_sketch").over(order)}).where(~F.col("_head"))
+    rows = rows.withColumn("_n", F.lead("_text").over(order)).where(~F.col("_head"))
     size = F.length("_text")
     half = F.floor(size / 2).cast("int")
     rows = rows.withColumn("_edited", F.concat(F.substring(F.col("_text"), F.lit(1), size - half), F.substring(F.col("_n"), F.lit(1), half)))
-    rows = rows.withColumn("_es", sketch(F.col("_edited")))
+    rows = rows.withColumns({"_sketch": sketch(F.col("_text")), "_es": sketch(F.col("_edited")), "_ns": sketch(F.col("_n"))})
     return rows.select(
         key,
         size.cast("long").alias("n_chars"),

@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from markgrove.llm import common, fingerprints, secrets, sharding
@@ -50,6 +51,39 @@ def edited(texts, i):
     return texts[i][: len(texts[i]) - half] + texts[(i + 1) % len(texts)][:half]
 
 
+def sketch_by_force(text, k=5):
+    """Hashes below a quarter of the range, as signed numbers, and the least of all."""
+    words = [w for w in re.split("[\x20\t-\r]+", text.lower()) if w]
+    runs = [words[i : i + k] for i in range(len(words) - k + 1)] if len(words) >= k else [[" ".join(words)]] if words else []
+    hashes = set()
+    for run in runs:
+        h = 42
+        for w in run:
+            h = xxhash.xxh64(w.encode(), seed=h).intdigest()
+        hashes.add(h - 2**64 if h >= 2**63 else h)
+    return sorted(h for h in hashes if h < -(2**63) + 2**62), min(hashes, default=None)
+
+
+def likeness(a, b):
+    union = set(a[0]) | set(b[0])
+    return len(set(a[0]) & set(b[0])) / len(union) if union else float(a[1] == b[1])
+
+
+def test_sketches_merge_and_estimate_like_brute_force(spark):
+    rng = random.Random(9)
+    words = [f"w{i}" for i in range(3000)]
+    texts = [" ".join(words[a : a + n]) for a, n in [(rng.randrange(2900), rng.choice([1, 3, 4, 5, 8, 12, 30, 200, 2000])) for _ in range(60)]] + ["", "one two three four", " ".join(words[:400])]
+    pairs = [(a, b) for a in texts[::3] + texts[-3:] for b in texts[-10:]]
+    s = spark.createDataFrame(pairs, "a string, b string").select("a", "b", fingerprints.sketch(F.col("a")).alias("x"), fingerprints.sketch(F.col("b")).alias("y"))
+    for r in s.select("a", "b", fingerprints.merge(F.col("x"), F.col("y")).alias("m"), fingerprints.resemblance(F.col("x"), F.col("y")).alias("r"), fingerprints.containment(F.col("x"), F.col("y")).alias("c")).collect():
+        x, y = sketch_by_force(r.a), sketch_by_force(r.b)
+        both = sorted({*x[0], *y[0]}), min((h for h in (x[1], y[1]) if h is not None), default=None)
+        assert (list(r.m.hashes), r.m.least) == both and r.r == likeness(x, y)
+        assert r.c == len(set(x[0]) & set(y[0])) / len(x[0]) if x[0] else r.c in (None, 0.0, 1.0)
+        if r.a and r.b and r.a in r.b and x[0] and len(r.a.split()) >= 5:
+            assert r.c == 1.0
+
+
 def test_fingerprints_of_odd_rows(odd, none, monkeypatch):
     monkeypatch.setattr(fingerprints, "BLOCK_BITS", 1)  # many blocks: most successors are in another one
     rows = fingerprints.fingerprint_documents(odd).collect()
@@ -57,7 +91,13 @@ def test_fingerprints_of_odd_rows(odd, none, monkeypatch):
     texts = [t for _, t in source]
     want = Counter((None if i == -(2**63) else i, len(t), hashlib.sha256(edited(texts, k).encode()).hexdigest()) for k, (i, t) in enumerate(source))
     assert Counter((r.doc_id, r.n_chars, r.edited_sha256) for r in rows) == want
-    assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next, r.containment_in_edited))
+    assert all(0 <= x <= 1 for r in rows for x in (r.near_edited, r.near_next, r.containment_in_edited or 0))
+    fold = lambda x: ("".join(f"{h % 2**64:016x}" for h in x[0]) or (f"<{x[1] % 2**64:016x}" if x[1] is not None else ""))
+    prints = Counter()
+    for k, (i, t) in enumerate(source):
+        own, new, after = (sketch_by_force(x) for x in (t, edited(texts, k), texts[(k + 1) % len(texts)]))
+        prints[(None if i == -(2**63) else i, fold(own), fold(new), likeness(own, new), likeness(own, after))] += 1
+    assert Counter((r.doc_id, r.fingerprint, r.edited_fingerprint, r.near_edited, r.near_next) for r in rows) == prints
     prints = {r.doc_id: r.fingerprint for r in rows}
     assert prints[6] == prints[7] != "" and prints[0] == prints[1] == prints[2] == "" and prints[3] != prints[4]
     assert fingerprints.fingerprint_documents(none).count() == 0

@@ -9,12 +9,16 @@ the batch compose their functions side by side, a prefix scan over the blocks
 gives each its starting state, and a second side-by-side pass marks where
 pre-tokens begin. The resulting slices go through a bounded cache of merged pairs.
 
-Ids are packed as little-endian unsigned 32-bit integers in a binary column, with
-the code-point offset of every pre-token retained on request.
+Ids are packed as little-endian unsigned 32-bit integers in a binary column. With
+them the offsets of every pre-token are retained on request: its first code point
+and its first id. Decoding by the offsets finds for every pre-token the bytes of its
+ids and checks that they begin at its code point, so that lost or shifted ids before
+it are an error and not another text.
 
 Defined results: a null text is encoded as empty, to no ids; a null list of ids
 decodes to no bytes; repeated rows are encoded each; an empty table gives no
-rows; extra columns are carried along unread.
+rows; extra columns are carried along unread, whatever their names, but a column
+that has the name of a new one is refused (ValueError).
 """
 
 from __future__ import annotations
@@ -285,39 +289,78 @@ def pair_merger(path: str) -> PairMerger:
     return _MERGERS[path]
 
 
+OFFSETS = T.StructType([T.StructField("chars", T.ArrayType(T.IntegerType())), T.StructField("ids", T.ArrayType(T.IntegerType()))])
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.cumsum([0, *map(len, arrays)])
+    return pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.zeros(0, np.int32), *arrays]).astype(np.int32)))
+
+
+def _carried(docs: DataFrame, out: list[str], *used: str) -> DataFrame:
+    """``row`` (a struct of all columns that stay) and the columns ``used``; new columns must not clash."""
+    clash = [c for c in docs.columns if c in out]
+    if clash:
+        raise ValueError(f"the input has columns {clash} already")
+    keep = [F.col(f"`{c}`") for c in docs.columns if c != used[0]]
+    return docs.select(F.struct(F.lit(0).alias("_"), *keep).alias("row"), *[F.col(f"`{c}`").alias(f"_{i}") for i, c in enumerate(used)])
+
+
+def _unpacked(df: DataFrame, docs: DataFrame, used: str, out: list[str]) -> DataFrame:
+    return df.select(*[F.col("row")[c].alias(c) for c in docs.columns if c != used], *out)
+
+
 def bpe_encode(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", offsets: str | None = None) -> DataFrame:
-    """``docs`` with ``text`` replaced by ``ids`` (packed) and ``n_tokens``; ``offsets``: array of the pre-tokens' code-point offsets."""
-    keep = [c for c in docs.columns if c not in (text, ids, "n_tokens", offsets)]
-    fields = [docs.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())]
-    fields += [T.StructField(offsets, T.ArrayType(T.LongType()))] if offsets else []
+    """``docs`` with ``text`` replaced by ``ids`` (packed) and ``n_tokens``; ``offsets`` names a column for those of the pre-tokens (OFFSETS)."""
+    out = [ids, "n_tokens", *([offsets] if offsets else [])]
+    rows = _carried(docs, out, text)
+    fields = [rows.schema["row"], T.StructField(ids, T.BinaryType()), T.StructField("n_tokens", T.LongType())]
+    fields += [T.StructField(offsets, OFFSETS)] if offsets else []
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = pair_merger(path)
-        for batch in (s for b in batches for s in slices(b, b.num_columns - 1, BATCH_BYTES)):
-            packed, starts = [], []
-            for tokens, where in pre_tokenise([t.as_py() or "" for t in batch.column(batch.num_columns - 1)]):
-                packed.append(b"".join(merger.packed(tokens)))
+        for batch in (s for b in batches for s in slices(b, 1, BATCH_BYTES)):
+            packed, chars, firsts = [], [], []
+            for tokens, where in pre_tokenise([t.as_py() or "" for t in batch.column(1)], merger.classes):
+                parts = merger.packed(tokens)
+                packed.append(b"".join(parts))
                 if offsets:
-                    starts.append(where)
-            columns = [batch.column(i) for i in range(batch.num_columns - 1)]
-            columns += [pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
-            columns += [pa.array(starts, pa.list_(pa.int64()))] if offsets else []
+                    chars.append(where)
+                    firsts.append(np.cumsum([0, *map(len, parts)])[:-1] // 4)
+            columns = [batch.column(0), pa.array(packed, pa.binary()), pa.array([len(p) // 4 for p in packed], pa.int64())]
+            columns += [pa.StructArray.from_arrays([_lists(chars), _lists(firsts)], ["chars", "ids"])] if offsets else []
             yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
 
-    return docs.select(*keep, F.col(text)).mapInArrow(run, T.StructType(fields))
+    return _unpacked(rows.mapInArrow(run, T.StructType(fields)), docs, text, out)
+
 
+def checked_bytes(merger: PairMerger, packed: bytes, chars: np.ndarray, ids: np.ndarray) -> bytes:
+    """The bytes of packed ids, of which those from ``ids[i]`` on must begin at code point ``chars[i]``."""
+    parts = list(map(merger.tokens.__getitem__, np.frombuffer(packed, "<u4").tolist()))
+    whole = b"".join(parts)
+    at = np.cumsum([0, *map(len, parts)])[ids]
+    begins = (np.frombuffer(whole, np.uint8) & 0xC0) != 0x80  # a byte that begins a code point
+    points = np.concatenate([[0], np.cumsum(begins)])
+    if not (np.array_equal(points[at], chars) and begins[at].all()):
+        raise ValueError("ids and offsets of pre-tokens do not belong together")
+    return whole
 
-def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded") -> DataFrame:
-    """``docs`` with the bytes of packed ``ids`` in a binary column ``out``; ``ids`` stays."""
-    keep = [c for c in docs.columns if c not in (ids, out)]
-    fields = [docs.schema[c] for c in keep] + [T.StructField(ids, T.BinaryType()), T.StructField(out, T.BinaryType())]
+
+def bpe_decode(docs: DataFrame, path: str, ids: str = "ids", out: str = "decoded", offsets: str | None = None) -> DataFrame:
+    """``docs`` with the bytes of packed ``ids`` in a binary column ``out``; ``ids`` stays. With ``offsets``, pre-token by pre-token."""
+    rows = _carried(docs, [out], ids, *([offsets] if offsets else []))
+    fields = [rows.schema["row"], T.StructField(ids, T.BinaryType()), T.StructField(out, T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         merger = pair_merger(path)
-        for batch in (s for b in batches for s in slices(b, b.num_columns - 1, BATCH_BYTES)):
-            packed = batch.column(batch.num_columns - 1)
-            decoded = [merger.decode(p.as_py() or b"") for p in packed]
-            columns = [batch.column(i) for i in range(batch.num_columns)] + [pa.array(decoded, pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=[f.name for f in fields])
+        for batch in (s for b in batches for s in slices(b, 1, BATCH_BYTES)):
+            packed = [p.as_py() or b"" for p in batch.column(1)]
+            if offsets:
+                none = np.zeros(0, np.int32)
+                pair = [(o["chars"].values.to_numpy(), o["ids"].values.to_numpy()) if o.is_valid else (none, none) for o in batch.column(2)]
+                decoded = [checked_bytes(merger, p, *o) for p, o in zip(packed, pair, strict=True)]
+            else:
+                decoded = [merger.decode(p) for p in packed]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(decoded, pa.binary())], names=[f.name for f in fields])
 
-    return docs.select(*keep, F.col(ids)).mapInArrow(run, T.StructType(fields))
+    return _unpacked(rows.mapInArrow(run, T.StructType(fields)), docs, ids, [ids, out])

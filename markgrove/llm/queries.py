@@ -38,7 +38,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
-    decoded = bpe.bpe_decode(bpe.bpe_encode(spread(docs), path), path)
+    decoded = bpe.bpe_decode(bpe.bpe_encode(spread(docs), path, offsets="offsets"), path, offsets="offsets")
     return decoded.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
 

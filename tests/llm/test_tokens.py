@@ -45,6 +45,19 @@ def test_all_three_agree_with_the_libraries(tools, t):
     assert own.decode(ids) == t.encode()
 
 
+def test_offsets_decode_and_refuse_what_is_spoilt(tools):
+    merger = tools[0]
+    t = "Éa 世界 \U0001f30d don't  stop\n"
+    tokens, chars = bpe.pre_tokenise([t])[0]
+    parts = merger.packed(tokens)
+    ids = np.cumsum([0, *map(len, parts)])[:-1] // 4
+    packed = b"".join(parts)
+    assert bpe.checked_bytes(merger, packed, chars, ids) == t.encode()
+    for spoilt in ((packed[4:], chars, ids - np.minimum(ids, 1)), (packed, chars + 1, ids)):
+        with pytest.raises(ValueError, match="belong"):
+            bpe.checked_bytes(merger, *spoilt)
+
+
 def test_batches_are_scanned_like_single_texts():
     rng = random.Random(3)
     texts = ["".join(rng.choice(PIECES) for _ in range(rng.randrange(40))) for _ in range(300)]
@@ -101,12 +114,21 @@ def test_counts_of_odd_rows(odd, none, tools):
 
 def test_round_trip_of_odd_rows_keeps_extra_columns(odd, none):
     encoded = bpe.bpe_encode(odd, RANKS, offsets="at")
-    out = bpe.bpe_decode(encoded, RANKS).select("_id", "_text", "n_tokens", "ids", "at", F.sha2("decoded", 256).alias("h"))
+    out = bpe.bpe_decode(encoded, RANKS, offsets="at").select("_id", "_text", "n_tokens", "ids", "at", F.sha2("decoded", 256).alias("h"))
     source = {r["_id"]: r for r in odd.collect()}
     for r in out.collect():
         assert r.h == hashlib.sha256((source[r["_id"]].text or "").encode()).hexdigest()
         assert r["_text"] == source[r["_id"]]["_text"] and r.n_tokens * 4 == len(r.ids)
-        assert r["at"] == bpe.pre_tokenise([source[r["_id"]].text or ""])[0][1].tolist()
+        assert r["at"]["chars"] == bpe.pre_tokenise([source[r["_id"]].text or ""])[0][1].tolist()
+        assert len(r["at"]["ids"]) == len(r["at"]["chars"])
+    odd_names = odd.select("text", F.col("n_chars").alias("a.b"))
+    assert bpe.bpe_decode(bpe.bpe_encode(odd_names, RANKS), RANKS).columns == ["a.b", "n_tokens", "ids", "decoded"]
+    assert bpe.bpe_encode(odd.select("text"), RANKS).columns == ["ids", "n_tokens"]
+    for clash in ("ids", "n_tokens"):
+        with pytest.raises(ValueError, match="already"):
+            bpe.bpe_encode(odd.withColumn(clash, F.lit(1)), RANKS)
+    with pytest.raises(ValueError, match="already"):
+        bpe.bpe_decode(encoded.withColumn("decoded", F.lit(1)), RANKS)
     assert bpe.bpe_decode(bpe.bpe_encode(none, RANKS), RANKS).count() == 0
 
 

@@ -111,9 +111,15 @@ class _Shards:
         self.out.close()
         self.out = None
         final = f"{self.base}/{self.name}"
+        written = self.fs.get_file_info(self.temporary).size
+        if written != self.size:
+            raise OSError(f"{self.temporary} has {written} bytes, not {self.size}")
         try:
             self.fs.move(self.temporary, final)
-        except OSError:  # an earlier attempt left the same bytes under this name
+        except OSError:
+            if not self.fs.get_file_info(final).is_file:
+                raise
+            # an earlier attempt left the same bytes under this name
             self.fs.delete_file(final)
             self.fs.move(self.temporary, final)
         self.done.append((self.name, self.size, self.records))
@@ -153,7 +159,7 @@ def write_warc(pages: DataFrame, uri: str, key: str = "page_id", url: str = "url
     placed = placed.withColumn("_place", place)
     # shard = place * shards / 2**60, in integers that cannot overflow
     placed = placed.withColumn("_shard", F.shiftright(F.shiftright("_place", 30) * F.lit(shards), 30).cast("int"))
-    placed = placed.repartitionByRange(shards, "_shard").sortWithinPartitions("_shard", "_place", "_digest", F.desc_nulls_last("_id"), "_url")
+    placed = placed.repartitionById(shards, F.col("_shard")).sortWithinPartitions("_shard", "_place", "_digest", F.desc_nulls_last("_id"), "_url")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         files = _Shards(uri, roll_bytes)

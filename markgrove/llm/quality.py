@@ -223,11 +223,18 @@ def kth_largest(scores: DataFrame, column: str, k: int, bins: int = 4096) -> flo
 
 
 def threshold(scores: DataFrame, k: int | None = None, floor: float = FLOOR) -> float:
-    """The least key of the sample of size ``k``."""
+    """A number between the least key of the sample of size ``k`` and the next smaller one.
+
+    Midway, so that a text scored again on another machine, whose logarithm may round
+    otherwise, falls on the same side.
+    """
     if k is None:
         k = scores.where(F.col("_log_weight") > floor).count()
     least = kth_largest(scores, "_key", k)
-    return float("inf") if least is None else least
+    if least is None:
+        return float("inf")
+    below = scores.where(F.col("_key") < least).agg(F.max("_key")).first()[0]
+    return least - 1.0 if below is None else (least + below) / 2 if (least + below) / 2 > below else least
 
 
 def resample(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", k: int | None = None) -> DataFrame:

@@ -1,13 +1,17 @@
 """Near-dedup, neighbours, quality, archives and the pipeline against brute force."""
 
 import hashlib
+import math
 import random
 import re
+import struct
+import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
 import pytest
+import xxhash
 from pyspark.sql import functions as F
 from test_tokens import check_packing
 
@@ -263,6 +267,71 @@ def test_classifier_drops_bad_and_keeps_good_beyond_the_labels(spark):
     assert quality.resample(docs, labels, k=50).count() == 50
 
 
+def buckets_by_force(text):
+    """The features of a text one by one, in plain integers."""
+    mask = 2**64 - 1
+
+    def bucket(x):
+        x = (x + 1) * 0x9E3779B97F4A7C15 & mask
+        x ^= x >> 29
+        return (x * 0xBF58476D1CE4E5B9 & mask) >> 48
+
+    tokens = re.findall(r"\w+|[^\w\s]+|\n+", text)
+
+    def shape(t):
+        if t[0] == "\n":
+            return 1
+        if not (t[0].isalnum() or t[0] == "_"):
+            return 16 + zlib.crc32(t[:3].encode()) % 4096
+        if t.isdigit():
+            return 2
+        if t.islower():
+            return 3
+        if t.isupper():
+            return 4 if len(t) > 1 else 5
+        return 6 if t.istitle() else 7
+
+    words = [zlib.crc32(t.lower().encode()) for t in tokens]
+    shapes = [shape(t) for t in tokens]
+    found = [bucket(w) for w in words]
+    for (a, b), (x, y) in zip(zip(words, words[1:]), zip(shapes, shapes[1:])):
+        found.append(bucket(7 << 45 if a == b else (a * 31 + b + (1 << 40)) & mask))
+        found.append(bucket((x * 8192 + y + (1 << 50)) & mask))
+    return Counter(found)
+
+
+def test_log_weights_and_gumbel_selection_equal_brute_force(spark):
+    docs, labels, _ = good_and_bad(spark, n=150, seed=11)
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    rows += [(500 + i, rows[i % 3][1]) for i in range(40)] + [(700, None), (701, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    good = {r.doc_id for r in labels.collect() if r.quality == 1}
+    texts = {t for _, t in rows if t is not None}
+    target = {t for i, t in rows if i in good and t is not None}
+    raw, aim = Counter(), Counter()
+    for t in texts:
+        raw += buckets_by_force(t)
+    for t in target:
+        aim += buckets_by_force(t)
+    share = sum(aim.values()) / sum(raw.values())
+    want = {}
+    for i, t in rows:
+        own = buckets_by_force(t or "")
+        weight = sum(n * math.log((aim[b] - n * (t in target) + quality.PRIOR) / ((raw[b] - n) * share + quality.PRIOR)) for b, n in own.items())
+        h = xxhash.xxh64(struct.pack("<q", i), seed=42).intdigest()
+        h = h if t is None else xxhash.xxh64(t.encode(), seed=h).intdigest()
+        h = xxhash.xxh64(struct.pack("<i", quality.SEED), seed=h).intdigest()
+        noise = -math.log(-math.log((h % 2**52 + 0.5) / 2**52))
+        want[i] = weight, weight + noise
+    k = sum(w > quality.FLOOR for w, _ in want.values())
+    for size in (None, 25):
+        top = sorted(want, key=lambda i: -want[i][1])[: size or k]
+        got = {r.doc_id: r for r in quality.resample(docs, labels, k=size).collect()}
+        assert set(got) == set(top)
+        assert all(abs(got[i].log_weight - want[i][0]) < 1e-8 and abs(got[i].noisy_log_weight - want[i][1]) < 1e-8 for i in top)
+        assert {r.doc_id for r in quality.keep_good(docs, labels, k=size).collect()} == set(top)
+
+
 @pytest.mark.parametrize("broadcast", [500_000, 0])
 def test_classifier_keeps_clean_texts_with_many_copies(spark, monkeypatch, broadcast):
     monkeypatch.setattr(quality, "BROADCAST_ROWS", broadcast)

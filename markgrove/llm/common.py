@@ -2,8 +2,8 @@
 
 ``settle`` writes a DataFrame as Parquet below ``spark.checkpoint.dir`` and reads
 it back, so that a lost executor never costs the work before it and the plans
-after it stay short. Only where that setting is missing (tests, a shell) does it
-fall back to a folder of its own.
+after it stay short. Only where that setting is missing and the session is local
+(tests, a shell) does it fall back to a folder of its own; on a cluster that is an error.
 """
 
 from __future__ import annotations
@@ -25,13 +25,16 @@ HOT_SHARE, HOT_ROWS = 1e-5, 1000
 #: Rows in one Arrow batch, at most.
 BATCH_ROWS = 1000
 _OWN_DIR: list[str] = []
+_WRITTEN: list[str] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share; a temporary one only if none is set."""
+    """The folder that the driver and all executors share; a temporary one only if none is set and there are no other machines."""
     known = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if known:
         return known
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     if not _OWN_DIR:
         _OWN_DIR.append("file://" + tempfile.mkdtemp(prefix="markgrove-"))
     return _OWN_DIR[0]
@@ -41,9 +44,21 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     """A path below the shared folder that no other run uses; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/markgrove-{name}-{uuid.uuid4().hex}"
     atexit.register(_remove, spark, path)
+    _WRITTEN.append(path)
     return path
 
 
+def written() -> int:
+    """How many paths this process has taken so far."""
+    return len(_WRITTEN)
+
+
+def drop_tables(spark: SparkSession, first: int, last: int) -> None:
+    """Remove the tables of paths ``first`` to ``last`` (exclusive), by ``written``; nothing may read them any more."""
+    for path in _WRITTEN[first:last]:
+        _remove(spark, path)
+
+
 def _remove(spark: SparkSession, path: str) -> None:
     try:
         where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
@@ -73,6 +88,8 @@ def prepare(spark: SparkSession) -> None:
     """Ship the package to the workers, and let rows reach them in batches of BATCH_ROWS at most.
 
     Whole texts travel in these batches, so their size bounds what a worker holds.
+    The setting is the session's and stays: plans read it when they run, which is
+    after the operator has returned. A smaller setting of the user is left alone.
     """
     ship_package(spark)
     name = "spark.sql.execution.arrow.maxRecordsPerBatch"

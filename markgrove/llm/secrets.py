@@ -16,7 +16,8 @@ part of WINDOW or more characters would be reported by its own class. Spans that
 not reported twice.
 
 Defined results: a null or empty text has no spans; repeated rows are scanned
-each; an empty table gives no rows; other columns are not read.
+each; an empty table gives no rows; other columns are not read, but ``scan_secrets``
+refuses a table that has columns with the names of its own (ValueError).
 """
 
 from __future__ import annotations
@@ -175,6 +176,9 @@ def _ordered(spans: Column) -> Column:
 
 def scan_secrets(docs: DataFrame, text: str = "text") -> DataFrame:
     """``docs`` with arrays of spans: ``base_spans`` and ``all_spans`` (start, rank, end, kind; code points, end exclusive)."""
+    clash = {"base_spans", "all_spans"} & set(docs.columns)
+    if clash:
+        raise ValueError(f"the input has columns {sorted(clash)} already")
     body = text_or_empty(text)
     base = F.concat(_spans(body, ASSIGN, "assign", 2), _spans(body, ACCESS, "access"), _spans(body, HEX, "hex"))
     docs = docs.withColumn("base_spans", _ordered(base))

@@ -144,6 +144,8 @@ def test_base_spans_equal_brute_force(spark, odd, none):
         want[(r.doc_id, kinds["assign"], kinds["access"], kinds["hex"], hashlib.sha256(joined.encode()).hexdigest())] += 1
     assert rows == want
     assert secrets.secret_digest(none).count() == 0
+    with pytest.raises(ValueError, match="already"):
+        secrets.scan_secrets(docs.withColumn("all_spans", F.lit(1)))
 
 
 def test_entropy_spans_and_allow_list(spark):

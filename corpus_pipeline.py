@@ -12,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from markgrove.llm import near_dedup, packing, quality, secrets
-from markgrove.llm.common import prepare, settle, table
+from markgrove.llm.common import drop_tables, prepare, settle, table, written
 
 
 def keep_good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,10 +51,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each stage's result is written and read again as the next one's input."""
+    """All stages over ``documents``; each stage's result is written and read again as the next one's input.
+
+    Once it is written, all tables of its stage and the one before are dropped.
+    """
     docs = table(spark, sf_dir, "documents")
+    first = written()
     for i, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
+            last = written()
             docs = settle(docs, f"stage{i}")
+            drop_tables(spark, first, last)
+            first = last
     return docs

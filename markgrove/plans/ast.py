@@ -57,6 +57,8 @@ class Step(Expr):
     axis: str
     test: str
     predicates: tuple[Expr, ...] = ()
+    #: A descendant step whose first predicate counts among the children of one parent: ``a//x[n]``.
+    by_parent: bool = False
 
 
 @dataclass(frozen=True)

@@ -5,7 +5,12 @@ parent as context; ``a//x`` without positions is one descendant join; existence
 a conjunction is a semi join and its negation an anti join; counts and first
 values of a sub-path are one grouped sub-plan joined by origin; an attribute of
 the candidate is a map look-up; steps that cannot repeat a node are not followed by
-a distinct.
+a distinct. Positions among a parent's children of one name are columns of the node
+table, so ``x[n]``, ``x[last()]`` and ``x[position() <= n]`` are filters, and so are
+counts and existence of siblings of the candidate's own name. Existence on the
+sibling, following and preceding axes is a minimum or maximum a parent or document,
+counts on them are a running sum, and the n-th sibling is an equi join on ranks: no
+step pairs all siblings with each other.
 """
 
 from __future__ import annotations
@@ -22,6 +27,8 @@ from .ast import ANYWHERE, Binary, Call, Expr, Filter, Literal, Negate, Number,
 
 PROFILES = ("compat", "xpath1")
 _COMPARISONS = ("=", "!=", "<", ">", "<=", ">=")
+_SIBLINGS = ("following-sibling", "preceding-sibling")
+_BESIDE = (*_SIBLINGS, "following", "preceding")
 _NUMERIC_CALLS = frozenset(["count", "last", "position", "number", "string-length"])
 
 
@@ -47,6 +54,8 @@ class Compiler:
         self._nodes, self.profile, self.uses, self._names = nodes, profile, 0, count()
         #: Node tests that cover all rows the plan reads; None once it reads any node.
         self.wanted: set[str] | None = set()
+        #: The node test of the candidates whose predicates are being compiled, where it is known.
+        self._own: str | None = None
 
     def scan(self, test: str) -> DataFrame:
         """The node table, of which only nodes that ``test`` matches will be read (``@x``: elements with that attribute)."""
@@ -87,14 +96,15 @@ class Compiler:
             return whole.dropDuplicates(key), any(attributes)
         if isinstance(e, Filter):
             df, attributes = self.node_set(e.operand, origins, with_origin)
-            whole = [*(["o"] if with_origin else [])]
+            whole, outer, self._own = [*(["o"] if with_origin else [])], self._own, None
             for p in e.predicates:
                 df = self.predicate(df, p, attributes, ["doc", *whole], backwards=False)
+            self._own = outer
             return df, attributes
         raise TypeError(f"{type(e).__name__} is not a node-set")
 
     def path(self, path: Path, origins: DataFrame | None, with_origin: bool) -> tuple[DataFrame, bool]:
-        steps, attributes = list(path.steps), False
+        steps, attributes, before = list(path.steps), False, self._own if path.start == "here" else None
         carry = with_origin and path.start != "root"
         if path.start == "root":
             if steps and steps[0] == ANYWHERE:
@@ -109,20 +119,21 @@ class Compiler:
             df, attributes = self.node_set(path.start, origins, with_origin)
         while steps:
             step = steps.pop(0)
-            if step == ANYWHERE and steps and df is not None and steps[0].axis == "child" and not any(map(is_positional, steps[0].predicates)):
-                step = Step("descendant", *[steps[0].test, steps.pop(0).predicates])
-            df, attributes = self.step(df, step, carry, attributes)
+            if step == ANYWHERE and steps and df is not None and steps[0].axis == "child" and not self._counts(steps[0]):
+                step = Step("descendant", steps[0].test, steps.pop(0).predicates, by_parent=True)
+            beside = None if attributes else self._sibling_step(df, step, carry, before)
+            df, attributes = (beside, False) if beside is not None else self.step(df, step, carry, attributes)
+            before = None if attributes else step.test
         return df, attributes
 
     def step(self, context: DataFrame | None, step: Step, carry: bool, attributes: bool) -> tuple[DataFrame, bool]:
-        positional = any(map(is_positional, step.predicates))
+        positional = self._counts(step)
         if attributes:
             return self._step_from_attribute(context, step, carry)
         found = take_axis(self.scan(self._read_by(step, context is None)), context, step.axis, step.test, carry, positional, self.profile)
         df = found.df
         group = ["doc", "c", *(["o"] if carry else [])]
-        for p in step.predicates:
-            df = self.predicate(df, p, found.attributes, group, found.backwards)
+        df = self.predicates(df, step, found.attributes, group, found.backwards)
         if not found.distinct:
             # keys first, then the rows again: no wide column goes through the aggregate
             key = ["doc", "pre", *(["o"] if carry else [])]
@@ -137,9 +148,7 @@ class Compiler:
         """From an attribute only itself, its element and the element's ancestors can be reached."""
         if step.axis in ("self", "descendant-or-self"):
             df = context.where(node_test(step.test, attributes=True))
-            for p in step.predicates:
-                df = self.predicate(df, p, True, ["doc", "pre", "a_idx", *(["o"] if carry else [])], False)
-            return df, True
+            return self.predicates(df, step, True, ["doc", "pre", "a_idx", *(["o"] if carry else [])], False), True
         up = {"parent": "self", "ancestor": "ancestor-or-self"}.get(step.axis)
         keys = context.select(F.col("doc").alias("_kd"), F.col("pre").alias("_kp"), *(["o"] if carry else [])).distinct()
         on = (F.col("doc") == F.col("_kd")) & (F.col("pre") == F.col("_kp"))
@@ -148,13 +157,141 @@ class Compiler:
             elements, up = elements.where(F.lit(False)), "self"
         return self.step(elements, Step(up, step.test, step.predicates), carry, False)
 
+    # -- steps along siblings
+
+    @staticmethod
+    def _counted(test: str) -> bool:
+        """Whether ``name_pos`` and ``name_cnt`` count the nodes that ``test`` matches among their siblings."""
+        return test not in ("*", "node()") and not (test.startswith("processing-instruction(") and test != "processing-instruction()")
+
+    def _counts(self, step: Step) -> bool:
+        """Whether a predicate counts candidates in a way that the node table's positions do not answer."""
+        known = self._counted(step.test) and (step.axis == "child" or step.by_parent)
+        return any(map(is_positional, step.predicates[1 if known else 0 :]))
+
+    def _matching(self, step: Step) -> DataFrame:
+        """All nodes that a step's test and predicates, none of them positional, match."""
+        return self.predicates(self.scan(step.test).where(node_test(step.test)).where("parent IS NOT NULL"), step, False, [], False)
+
+    def _running(self, df: DataFrame, marks: DataFrame, group: list[str], own: str, their: str, after: bool) -> DataFrame:
+        """doc, pre and ``n`` for the distinct nodes of ``df``: the number of ``marks`` in their group after (before) them."""
+        at = self.fresh("at")
+        points = df.select(*group, F.col(own).alias(at), F.col("pre"), F.lit(0).alias("_m")).dropDuplicates(["doc", "pre"])
+        both = points.unionByName(marks.select(*group, F.col(their).alias(at), F.lit(None).cast("int").alias("pre"), F.lit(1).alias("_m")))
+        frame = Window.partitionBy(*group).orderBy(at)
+        frame = frame.rangeBetween(1, Window.unboundedFollowing) if after else frame.rangeBetween(Window.unboundedPreceding, -1)
+        counted = both.withColumn("n", F.coalesce(F.sum("_m").over(frame), F.lit(0)).cast("int")).where(F.col("pre").isNotNull())
+        return counted.select("doc", "pre", "n")
+
+    def _sibling_step(self, context: DataFrame | None, step: Step, carry: bool, before: str | None) -> DataFrame | None:
+        """``following-sibling::x[n]`` and its like as an equi join on ranks; None for steps of other forms."""
+        plain = [p for p in step.predicates if not is_positional(p)]
+        rest = list(step.predicates[len(plain) :])
+        if context is None or step.axis not in _SIBLINGS or list(step.predicates[: len(plain)]) != plain or not rest or not self._counted(step.test):
+            return None
+        place, rest = rest[0], rest[1:]
+        if not (place == Call("last") or (isinstance(place, Number) and place.value == int(place.value) and place.value >= 1)) or any(map(is_positional, rest)):
+            return None
+        after = step.axis == "following-sibling"
+        backwards = not after and self.profile == "xpath1"
+        columns = self._nodes.columns
+        matched = self._matching(Step(step.axis, step.test, tuple(plain)))
+        rows = Window.partitionBy("doc", "parent")
+        if plain:
+            matched = matched.withColumn("_r", F.row_number().over(rows.orderBy("sib")))
+            size = F.count("*").over(rows)
+        else:
+            matched, size = matched.withColumn("_r", F.col("name_pos")), F.col("name_cnt")
+        keys = [F.col("doc").alias("_d"), F.col("parent").alias("_p"), F.col("pre").alias("c"), *(["o"] if carry else [])]
+        if not plain and before == step.test:  # of those up to the context node itself
+            upto = context.select(*keys, (F.col("name_pos") if after else F.col("name_pos") - 1).alias("_b"))
+        else:
+            marks = self._matching(Step(step.axis, step.test, tuple(plain)))
+            counts = self._running(context, marks, ["doc", "parent"], "sib", "sib", False)
+            if after:  # the context node may match itself
+                itself = marks.select(F.col("doc").alias("_id"), F.col("pre").alias("_ip"))
+                counts = counts.join(itself, (F.col("doc") == F.col("_id")) & (F.col("pre") == F.col("_ip")), "left")
+                counts = counts.select("doc", "pre", (F.col("n") + F.col("_ip").isNotNull().cast("int")).alias("n"))
+            counts = counts.select(F.col("doc").alias("_cd"), F.col("pre").alias("_cp"), F.col("n").alias("_b"))
+            upto = context.join(counts, (F.col("doc") == F.col("_cd")) & (F.col("pre") == F.col("_cp"))).select(*keys, "_b")
+        if after:
+            at = F.col("_b") + int(place.value) if isinstance(place, Number) else None
+        elif place == Call("last"):
+            at = F.lit(1) if backwards else F.col("_b")
+        else:
+            at = F.col("_b") - int(place.value) + 1 if backwards else F.lit(int(place.value))
+        if at is None:  # the last one of all, if it is after the context node
+            matched = matched.withColumn("_size", size).where("_r = _size")
+            on = F.col("_r") > F.col("_b")
+        else:
+            upto = upto.withColumn("_at", at)
+            upto = upto if after else upto.where("_at BETWEEN 1 AND _b")
+            on = F.col("_r") == F.col("_at")
+        on = (F.col("doc") == F.col("_d")) & (F.col("parent") == F.col("_p")) & on
+        key = ["doc", "pre", *(["o"] if carry else [])]
+        found = matched.join(upto, on).select(*columns, "c", *(["o"] if carry else [])).dropDuplicates(key) if carry else matched.join(upto, on, "left_semi").select(*columns, F.col("pre").alias("c"))
+        return self.predicates(found, Step(step.axis, step.test, tuple(rest)), False, [], False)
+
+    def _beside(self, e: Expr) -> Step | None:
+        """The only step of a path along siblings, or to all that follows or precedes, without positions."""
+        if isinstance(e, Path) and e.start == "here" and len(e.steps) == 1 and e.steps[0].axis in _BESIDE and not any(map(is_positional, e.steps[0].predicates)):
+            return e.steps[0]
+        return None
+
+    @staticmethod
+    def _sides(axis: str) -> tuple[list[str], str, str, bool]:
+        """What candidate and found node share, the place of the first, of the second, and whether the second comes after."""
+        if axis in _SIBLINGS:
+            return ["doc", "parent"], "sib", "sib", axis == "following-sibling"
+        return ["doc"], *(("last", "pre", True) if axis == "following" else ("pre", "last", False))
+
+    def _exists_beside(self, df: DataFrame, step: Step) -> tuple[DataFrame, Column]:
+        """Whether any node is there: by the extreme place of such nodes under the parent, or in the document."""
+        group, own, their, after = self._sides(step.axis)
+        names = [self.fresh("g") for _ in group]
+        edge = self.fresh("e")
+        edges = self._matching(step).groupBy(*group).agg((F.max if after else F.min)(their).alias(edge))
+        edges = edges.select(*[F.col(g).alias(n) for g, n in zip(group, names, strict=True)], edge)
+        on = F.lit(True)
+        for g, n in zip(group, names, strict=True):
+            on = on & (F.col(g) == F.col(n))
+        df = df.join(edges, on, "left").drop(*names)
+        side = F.col(edge) > F.col(own) if after else F.col(edge) < F.col(own)
+        return df, F.coalesce(side, F.lit(False))
+
     # -- predicates
 
-    def predicate(self, df: DataFrame, e: Expr, attributes: bool, group: list[str], backwards: bool) -> DataFrame:
-        """``df`` where ``e`` holds; a number must equal the position among the rows of ``group``."""
+    def predicates(self, df: DataFrame, step: Step, attributes: bool, group: list[str], backwards: bool) -> DataFrame:
+        """``df`` where all predicates of ``step`` hold, one after the other."""
+        outer, self._own = self._own, None if attributes else step.test
+        known = None
+        if (step.axis == "child" or step.by_parent) and not attributes and self._counted(step.test):
+            known = F.col("name_pos"), F.col("name_cnt")
+        for p in step.predicates:
+            df = self.predicate(df, p, attributes, group, backwards, known)
+            known = None  # the next one counts what this one left
+        self._own = outer
+        return df
+
+    def predicate(self, df: DataFrame, e: Expr, attributes: bool, group: list[str], backwards: bool, known: tuple[Column, Column] | None = None) -> DataFrame:
+        """``df`` where ``e`` holds; a number must equal the position among the rows of ``group``.
+
+        ``known`` are position and number of rows, where the node table has them.
+        """
         if not is_positional(e):
             return self.where(df, e, attributes)
         columns = df.columns
+        if known:
+            position, size = known
+            if isinstance(e, Number):
+                return df.where(position == F.lit(e.value)) if e.value == int(e.value) else df.where(F.lit(False))
+            if e == Call("last"):
+                return df.where(position == size)
+            df = df.withColumns({"_pos": position, "_size": size})
+            if is_numeric(e):
+                df, v = self.value(df, e, attributes)
+                return df.where(F.col("_pos").cast("double") == V.as_number(v)).select(*columns)
+            return self.where(df, e, attributes).select(*columns)
         order = [F.col("pre").desc() if backwards else F.col("pre"), *(["a_idx"] if attributes else [])]
         rows = Window.partitionBy(*group)
         if isinstance(e, Number):  # a rank limit that the planner pushes below the shuffle
@@ -184,7 +321,7 @@ class Compiler:
             return self.where(self.where(df, e.left, attributes), e.right, attributes)
         negated = isinstance(e, Call) and e.name == "not"
         inner = self._as_spec(e.args[0]) if negated else e
-        if is_nodes(inner) and self._local(inner, attributes) is None and not attributes:
+        if is_nodes(inner) and self._local(inner, attributes) is None and not attributes and self._beside(inner) is None:
             found = self.related(df, inner)
             right, on = self._keys(found, inner)
             return df.join(right, on, "left_anti" if negated else "left_semi")
@@ -321,6 +458,11 @@ class Compiler:
         if not (isinstance(e, Path) and e.start == "here" and len(e.steps) == 1 and not e.steps[0].predicates):
             return None
         step = e.steps[0]
+        if step.axis in _SIBLINGS and not attributes and step.test == self._own and self._counted(step.test):
+            n = F.col("name_cnt") - F.col("name_pos") if step.axis == "following-sibling" else F.col("name_pos") - 1
+            if step.test[-1] != ")":
+                return {"exists": n > 0, "count": n, "name": F.when(n > 0, step.test).otherwise("")}
+            return {"exists": n > 0, "count": n}
         if step.axis == "self":
             test = node_test(step.test, attributes)
             return {"exists": test, "count": test.cast("int"), "first": F.when(test, F.col("text")).otherwise(""), "name": F.when(test, F.col("name")).otherwise("")}
@@ -356,8 +498,21 @@ class Compiler:
         local = self._local(e, attributes)
         if local is None and attributes:
             local = {"exists": F.lit(False), "count": F.lit(0), "first": F.lit(""), "name": F.lit("")}
-        if local is not None:
-            return df, Value("nodes", local["first" if want == "exists" else want], local["exists"])
+        if local is not None and (want == "exists" or want in local):
+            return df, Value("nodes", local.get("first", F.lit("")) if want == "exists" else local[want], local["exists"])
+        beside = self._beside(e)
+        if beside is not None and want == "exists":
+            df, there = self._exists_beside(df, beside)
+            return df, Value("nodes", F.lit(""), there)
+        if beside is not None and want == "count":
+            group, own, their, after = self._sides(beside.axis)
+            n, d, p = self.fresh("n"), self.fresh("d"), self.fresh("p")
+            counts = self._running(df, self._matching(beside), group, own, their, after).select(F.col("doc").alias(d), F.col("pre").alias(p), F.col("n").alias(n))
+            df = df.join(counts, (F.col("doc") == F.col(d)) & (F.col("pre") == F.col(p)), "left").drop(d, p)
+            return df, Value("nodes", F.coalesce(F.col(n), F.lit(0)), F.coalesce(F.col(n), F.lit(0)) > 0)
+        if beside is not None and beside.axis in _SIBLINGS and self._counted(beside.test):  # the first in document order
+            first = Call("last") if beside.axis == "preceding-sibling" and self.profile == "xpath1" else Number(1.0)
+            e = Path("here", (Step(beside.axis, beside.test, (*beside.predicates, first)),))
         found = self.related(df, e)
         key = ["doc", *(["o"] if "o" in found.columns else [])]
         place = F.struct("pre", F.col("a_idx") if "a_idx" in found.columns else F.lit(0).alias("a_idx"))

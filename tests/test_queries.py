@@ -26,7 +26,7 @@ def test_entry(spark):
     assert df.count() > 0 and df.columns == ["page_id", "ord", "text_content"]
 
 
-@pytest.mark.parametrize("name", PACK[::6])
+@pytest.mark.parametrize("name", PACK)
 def test_query_equals_its_sql(spark, duck, name):
     df = entry.queries()[name](spark, DATA)
     columns = sorted(df.columns)

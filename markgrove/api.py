@@ -12,9 +12,24 @@ from pyspark.sql import types as T
 from .plans.ast import Expr
 from .plans.compiler import Compiler, is_nodes
 from .plans.parser import parse_xpath
-from .sources.shred import NODE_COLUMNS, NODE_FIELDS, register_table_function, shred
+from .sources.shred import CHAIN_FIELD, NODE_COLUMNS, NODE_FIELDS, Chain, parse_errors, register_table_function, shred
 
 log = logging.getLogger("markgrove")
+_TRACE = {"on": False}
+
+
+def enable_trace(on: bool = True) -> None:
+    """Log how each expression is parsed, which rewrites apply and what its plan reads (logger ``markgrove``, level INFO)."""
+    _TRACE["on"] = on
+
+
+def disable_trace() -> None:
+    enable_trace(False)
+
+
+def trace(message: str, *args: object) -> None:
+    if _TRACE["on"]:
+        log.info(message, *args)
 
 #: Columns of a result after the document's key.
 RESULT_COLUMNS = (
@@ -39,25 +54,33 @@ class NodeTable:
         self.df.unpersist()
 
 
-#: Tables that queries persisted by themselves.
+#: Tables that queries persisted by themselves, and how many of them at most.
 _IMPLICIT: list[NodeTable] = []
+IMPLICIT_TABLES = 4
 
 
 def release() -> None:
     """Unpersist the node tables that ``query`` and ``evaluate`` kept because their plans read them more than once.
 
-    Call it between queries of a long session; results that were not yet computed still can be, by parsing again.
+    The last IMPLICIT_TABLES of them stay until then, older ones go by themselves.
+    Results that were not yet computed still can be, by parsing again.
     """
     while _IMPLICIT:
         _IMPLICIT.pop().unpersist()
 
 
-def shred_documents(docs: DataFrame, key: str = "doc_id", html: str = "html", columns: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None) -> NodeTable:
-    """The node table of ``docs``, persisted; reads of it with the session's co-partitioning setting need no further exchange."""
+def shred_documents(docs: DataFrame, key: str = "doc_id", html: str = "html", columns: Iterable[str] = NODE_COLUMNS, wanted: frozenset[str] | None = None,
+                    chains: tuple[Chain, ...] = ()) -> NodeTable:
+    """The node table of ``docs``, persisted and partitioned by document.
+
+    So that joins on (document, x) add no further exchange, this sets
+    ``spark.sql.requireAllClusterKeysForCoPartition`` to false in the session, and
+    leaves it so: plans are made when results are read. Other queries of the session
+    stay right; a join of theirs may reuse a coarser partitioning.
+    """
     spark = docs.sparkSession
-    # joins on (document, x) then reuse the partitioning by document
     spark.conf.set("spark.sql.requireAllClusterKeysForCoPartition", "false")
-    nodes = shred(docs, key, html, columns, wanted)
+    nodes = shred(docs, key, html, columns, wanted, chains)
     return NodeTable(nodes.repartition(F.col("doc")).persist(), columns)
 
 
@@ -67,19 +90,21 @@ class XPath:
     def __init__(self, expression: str, profile: str = "compat"):
         self.expression, self.profile = expression, profile
         self.tree: Expr = parse_xpath(expression)
-        log.debug("%s -> %s", expression, self.tree)
+        trace("%s: parsed as %s", expression, self.tree)
 
-    def needs(self, columns: Iterable[str], contents_only: bool, output: str, include_location: bool) -> tuple[set[str], frozenset[str] | None, int]:
-        """The node columns and node tests that the plan reads, and how often it reads the table: found on an empty table."""
+    def needs(self, columns: Iterable[str], contents_only: bool, output: str, include_location: bool) -> tuple[set[str], Compiler]:
+        """The node columns that the plan reads, and what its compiler found out about the nodes: found on an empty table."""
         spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
-        fields = [T.StructField("doc", T.LongType()), *NODE_FIELDS]
-        compiler = Compiler(spark.createDataFrame([], T.StructType(fields)), self.profile)
+        fields = [T.StructField("doc", T.LongType()), *NODE_FIELDS, CHAIN_FIELD]
+        compiler = Compiler(spark.createDataFrame([], T.StructType(fields)), self.profile, chains=True)
         plan = self._plan(compiler, columns, contents_only, output, include_location)
         text = plan._jdf.queryExecution().optimizedPlan().toString()
         # a leaf shows all columns of the table, the nodes above it those that are used
         text = "\n".join(line for line in text.splitlines() if "LogicalRDD" not in line)
-        found = {c for c in NODE_COLUMNS if f"{c}#" in text}
-        return found | {"pre", "parent", "kind"}, None if compiler.wanted is None else frozenset(compiler.wanted), compiler.uses
+        found = {c for c in (*NODE_COLUMNS, CHAIN_FIELD.name) if f"{c}#" in text}
+        for line in compiler.notes:
+            trace("%s: %s", self.expression, line)
+        return found | {"pre", "parent", "kind"}, compiler
 
     def _plan(self, compiler: Compiler, columns: Iterable[str], contents_only: bool, output: str, include_location: bool) -> DataFrame:
         if is_nodes(self.tree):
@@ -99,15 +124,20 @@ class XPath:
         if isinstance(docs, NodeTable):
             nodes = docs.df
         else:
-            needs, wanted, uses = self.needs(columns, contents_only, output, include_location)
-            if uses == 1:
-                nodes = shred(docs, key, html, needs, wanted)
+            needs, found = self.needs(columns, contents_only, output, include_location)
+            wanted, chains = None if found.wanted is None else frozenset(found.wanted), tuple(found.chains)
+            trace("%s: reads columns %s of nodes %s, %d times", self.expression, sorted(needs), "all" if wanted is None else sorted(wanted), found.uses)
+            if found.uses == 1:
+                nodes = shred(docs, key, html, needs, wanted, chains)
             else:  # read more than once: parse once
-                _IMPLICIT.append(shred_documents(docs, key, html, needs, wanted))
+                _IMPLICIT.append(shred_documents(docs, key, html, needs, wanted, chains))
                 nodes = _IMPLICIT[-1].df
-            missing = [f for f in NODE_FIELDS if f.name not in needs]
+                while len(_IMPLICIT) > IMPLICIT_TABLES:
+                    _IMPLICIT.pop(0).unpersist()
+            missing = [f for f in (*NODE_FIELDS, CHAIN_FIELD) if f.name not in needs]
             nodes = nodes.withColumns({f.name: F.lit(None).cast(f.dataType) for f in missing}) if missing else nodes
-        result = self._plan(Compiler(nodes, self.profile), columns, contents_only, output, include_location)
+        chained = not isinstance(docs, NodeTable)
+        result = self._plan(Compiler(nodes, self.profile, chains=chained), columns, contents_only, output, include_location)
         return result.withColumnRenamed("doc", key)
 
     def explain(self, docs: DataFrame | NodeTable, **options: object) -> str:
@@ -178,9 +208,8 @@ def query_many(expressions: Mapping[str, str], docs: DataFrame | NodeTable, key:
 
 
 def errors(docs: DataFrame, key: str = "doc_id", html: str = "html") -> DataFrame:
-    """Documents that cannot be queried, with the reason; the parser itself accepts anything else."""
-    blank = F.col(html).isNull() | (F.trim(F.col(html), F.lit(" \t\r\n")) == "")
-    return docs.where(blank).select(key, F.lit("the document is empty").alias("error"))
+    """Documents that cannot be queried, with the reason: blank ones, and any whose parse fails. It parses all documents once."""
+    return parse_errors(docs, key, html)
 
 
 def slice_source(html: str, start: str = "start_location", end: str = "end_location"):

@@ -13,11 +13,11 @@ _SHIPPED: set[str] = set()
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Add the package to the session's Python files, once an application, unless PYTHONPATH already leads to it."""
+    """Add the package to the session's Python files, once an application; a local session whose PYTHONPATH leads to it needs none."""
     root = Path(__file__).resolve().parent
     sc = spark.sparkContext
     on_path = str(root.parent) in [os.path.realpath(p) for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if on_path or sc.applicationId in _SHIPPED:
+    if (on_path and sc.master.startswith("local")) or sc.applicationId in _SHIPPED:
         return
     archive = Path(tempfile.mkdtemp(prefix="markgrove-")) / "markgrove.zip"
     with zipfile.ZipFile(archive, "w") as z:

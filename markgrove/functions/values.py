@@ -8,6 +8,7 @@ and comparisons see the first node only; in ``xpath1`` lengths are code points.
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -16,6 +17,10 @@ from pyspark.sql import functions as F
 
 #: What counts as a number: decimal digits with optional sign, fraction and exponent, or a named infinity or NaN; no spaces.
 _NUMERIC = r"^[+-]?((\d+\.?\d*|\.\d+)([eE][+-]?\d+)?|[iI][nN][fF]([iI][nN][iI][tT][yY])?)$|^[+-]?[nN][aA][nN]$"
+#: Or hexadecimal digits with a binary exponent.
+_HEX = r"^[+-]?0[xX](?=\.?[0-9a-fA-F])([0-9a-fA-F]*)\.?([0-9a-fA-F]*)[pP]([+-]?\d{1,5})$"
+#: Hexadecimal digits that a long holds; of longer mantissas the rest only moves the exponent.
+_HEX_DIGITS = 15
 _WHITE = "[\\t-\\r \\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+"
 
 
@@ -33,7 +38,21 @@ def parse_number(s: Column) -> Column:
     plain = F.regexp_replace(F.lower(s), "^([+-]?)inf$", "$1infinity")
     plain = F.when(plain.rlike("nan$"), F.lit("NaN")).otherwise(plain)
     plain = F.when(plain.rlike("infinity$"), F.regexp_replace(plain, "infinity", "Infinity")).otherwise(plain)
-    return F.when(s.rlike(_NUMERIC), plain.try_cast("double"))
+    return F.when(s.rlike(_NUMERIC), plain.try_cast("double")).when(s.rlike(_HEX), _parse_hex(s))
+
+
+def _parse_hex(s: Column) -> Column:
+    whole, fraction = F.regexp_extract(s, _HEX, 1), F.regexp_extract(s, _HEX, 2)
+    digits = F.regexp_replace(F.concat(whole, fraction), "^0+", "")
+    cut = F.greatest(F.length(digits) - _HEX_DIGITS, F.lit(0))
+    mantissa = F.coalesce(F.conv(F.substring(digits, 1, _HEX_DIGITS), 16, 10).try_cast("double"), F.lit(0.0))
+    power = F.regexp_extract(s, _HEX, 3).cast("int") + 4 * (cut - F.length(fraction))
+    return F.when(s.startswith("-"), -1.0).otherwise(1.0) * mantissa * F.pow(F.lit(2.0), power)
+
+
+def spells_number(text: str) -> bool:
+    """Whether a constant counts as a number."""
+    return re.search(_NUMERIC, text) is not None or re.search(_HEX, text) is not None
 
 
 def format_number(x: Column) -> Column:

@@ -48,12 +48,17 @@ def is_nodes(e: Expr) -> bool:
 class Compiler:
     """Builds the plan of one expression over a node table; ``uses`` counts how often the table is read."""
 
-    def __init__(self, nodes: DataFrame, profile: str = "compat"):
+    def __init__(self, nodes: DataFrame, profile: str = "compat", chains: bool = False):
         if profile not in PROFILES:
             raise ValueError(f"profile must be one of {PROFILES}")
         self._nodes, self.profile, self.uses, self._names = nodes, profile, 0, count()
         #: Node tests that cover all rows the plan reads; None once it reads any node.
         self.wanted: set[str] | None = set()
+        #: Paths that the parser follows, if the table is shredded for this query: (may skip levels, test) a step.
+        self.chains: list[tuple[tuple[bool, str], ...]] = []
+        self._chained = chains
+        #: The rewrites that were applied, for the trace.
+        self.notes: list[str] = []
         #: The node test of the candidates whose predicates are being compiled, where it is known.
         self._own: str | None = None
 
@@ -75,6 +80,22 @@ class Compiler:
             return "node()"
         return step.test
 
+    def _narrowed(self, step: Step) -> str:
+        """What a step from all nodes reads: with ``x[@a='v']`` first, of elements x only those."""
+        test = self._read_by(step, True)
+        if step.axis != "child" or not self._counted(test) or test.endswith(")") or not step.predicates:
+            return test
+        e = step.predicates[0]
+        while isinstance(e, Binary) and e.op == "and":
+            e = e.left
+        if isinstance(e, Binary) and e.op == "=" and isinstance(e.left, Path) and isinstance(e.right, Literal):
+            steps, value = e.left.steps, e.right.value
+            named = e.left.start == "here" and len(steps) == 1 and steps[0].axis == "attribute" and steps[0].test not in ("*", "node()") and not steps[0].predicates
+            if named and value and not V.spells_number(value):  # numbers compare by value, and "" also equals nothing
+                self.notes.append(f"@{steps[0].test}='{value}' goes to the parser")
+                return f"{test}@{steps[0].test}={value}"
+        return test
+
     def fresh(self, stem: str) -> str:
         return f"_{stem}{next(self._names)}"
 
@@ -106,7 +127,10 @@ class Compiler:
     def path(self, path: Path, origins: DataFrame | None, with_origin: bool) -> tuple[DataFrame, bool]:
         steps, attributes, before = list(path.steps), False, self._own if path.start == "here" else None
         carry = with_origin and path.start != "root"
-        if path.start == "root":
+        chained = None if path.start not in ("root", "here") or (path.start == "here" and (origins is not None or with_origin)) else self._chain(path)
+        if chained is not None:
+            df, steps, before = chained
+        elif path.start == "root":
             if steps and steps[0] == ANYWHERE:
                 steps, df = steps[1:], None
                 if not steps:
@@ -126,11 +150,36 @@ class Compiler:
             before = None if attributes else step.test
         return df, attributes
 
+    def _chain(self, path: Path) -> tuple[DataFrame, list[Step], str] | None:
+        """The nodes at the end of the path's leading child and descendant steps without predicates (but the last), found by the parser."""
+        skips, chain, used, last = path.start == "here", [], 0, None
+        for i, s in enumerate(path.steps):
+            if s == ANYWHERE:
+                skips = True
+                continue
+            if s.axis != "child" or s.test == "node()" or (s.test.endswith(")") and s.test not in ("text()", "comment()")):
+                break
+            chain.append((skips, s.test))
+            skips, used, last = False, i + 1, s
+            if s.predicates or s.test.endswith(")"):
+                break
+        # of //x alone a filter on names is all
+        if not self._chained or not chain or (len(chain) == 1 and chain[0][0]) or len(self.chains) > 30:
+            return None
+        number = len(self.chains)
+        self.chains.append(tuple(chain))
+        self.notes.append(f"steps 1 to {used} are followed by the parser")
+        self.uses += 1
+        if self.wanted is not None:
+            self.wanted.add(f"chain {number}")
+        df = self._nodes.where(F.col("chains").bitwiseAND(F.lit(1 << number)) != 0).where(node_test(last.test)).withColumn("c", F.col("parent"))
+        return self.predicates(df, last, False, ["doc", "c"], False), list(path.steps[used:]), last.test
+
     def step(self, context: DataFrame | None, step: Step, carry: bool, attributes: bool) -> tuple[DataFrame, bool]:
         positional = self._counts(step)
         if attributes:
             return self._step_from_attribute(context, step, carry)
-        found = take_axis(self.scan(self._read_by(step, context is None)), context, step.axis, step.test, carry, positional, self.profile)
+        found = take_axis(self.scan(self._narrowed(step) if context is None else self._read_by(step, False)), context, step.axis, step.test, carry, positional, self.profile)
         df = found.df
         group = ["doc", "c", *(["o"] if carry else [])]
         df = self.predicates(df, step, found.attributes, group, found.backwards)
@@ -220,6 +269,7 @@ class Compiler:
             at = F.lit(1) if backwards else F.col("_b")
         else:
             at = F.col("_b") - int(place.value) + 1 if backwards else F.lit(int(place.value))
+        self.notes.append(f"{step.axis}::{step.test} by rank")
         if at is None:  # the last one of all, if it is after the context node
             matched = matched.withColumn("_size", size).where("_r = _size")
             on = F.col("_r") > F.col("_b")
@@ -247,6 +297,7 @@ class Compiler:
 
     def _exists_beside(self, df: DataFrame, step: Step) -> tuple[DataFrame, Column]:
         """Whether any node is there: by the extreme place of such nodes under the parent, or in the document."""
+        self.notes.append(f"existence on {step.axis} by the extreme place")
         group, own, their, after = self._sides(step.axis)
         names = [self.fresh("g") for _ in group]
         edge = self.fresh("e")
@@ -282,6 +333,7 @@ class Compiler:
             return self.where(df, e, attributes)
         columns = df.columns
         if known:
+            self.notes.append("position from the node table")
             position, size = known
             if isinstance(e, Number):
                 return df.where(position == F.lit(e.value)) if e.value == int(e.value) else df.where(F.lit(False))

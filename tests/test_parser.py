@@ -3,6 +3,8 @@
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from markgrove.api import errors, query
+from markgrove.sources import shred
 from markgrove.sources.markup import FIELDS, parse
 from markgrove.sources.shred import _map_array, document_columns
 
@@ -107,3 +109,45 @@ def test_unwanted_nodes_are_dropped_after_numbering():
         assert some["name"] == names
         for column, values in some.items():
             assert list(values) == [whole[column][i] for i in some["pre"]], column
+
+
+def test_deep_nesting_is_read_in_parts_of_bounded_size(monkeypatch):
+    """Unclosed elements nest: texts and sources together are as large as the square of the page."""
+    html = "".join(f"<p>{i}" for i in range(4000))
+    monkeypatch.setattr(shred, "BATCH_BYTES", 1 << 20)
+    parts = list(shred.document_chunks(html))
+    sizes = [sum(map(len, p["text"])) + sum(map(len, p["source"])) + sum(map(len, p["path"])) + 4 * sum(map(len, p["anc"])) for p in parts]
+    assert max(sizes) < 3 << 20 and sum(sizes) > 50 << 20
+    pre = [i for p in parts for i in p["pre"]]
+    assert pre == list(range(8001))
+    last = parts[-1]
+    assert last["anc"][-1] == [0, *range(1, 8000, 2)] and last["path"][-1] == "/#document" + "/p" * 4000 + "/#text"
+
+
+def test_parts_equal_the_whole(monkeypatch):
+    html = "".join(f"<a x='{i}'>t<b>u<c>{i}</c>" + "</b>" * (i % 2) for i in range(150))
+    whole = shred.document_columns(html)
+    monkeypatch.setattr(shred, "BATCH_BYTES", 5000)
+    monkeypatch.setattr(shred, "KEPT_DEPTH", 3)
+    assert len(list(shred.document_chunks(html))) > 5 and shred.document_columns(html) == whole
+
+
+def test_large_nested_page_in_a_query(spark):
+    df = spark.createDataFrame([(1, "<p>x" * 250_000 + "<h1>end"), (2, "<h1>a</h1>")], "doc_id long, html string")
+    rows = query("//h1", df, columns=["text_content", "start_location"]).collect()
+    assert {(r.doc_id, r.text_content, r.start_location) for r in rows} == {(1, "end", 1_000_000), (2, "a", 0)}
+    assert query("count(//p//p)", df, columns=["value"]).where("doc_id = 1").collect()[0].value == "249999"
+
+
+def test_a_document_that_cannot_be_parsed_is_an_error_and_not_a_failure(monkeypatch):
+    def broken(source):
+        raise RuntimeError("no nodes here")
+
+    assert shred.document_error(" ") == shred.document_error(None) == "the document is empty" and shred.document_error("<a>") is None
+    monkeypatch.setattr(shred, "parse", broken)
+    assert shred.document_error("<a>") == "RuntimeError: no nodes here"
+
+
+def test_errors_list_blank_documents(spark):
+    df = spark.createDataFrame([(1, "<a/>"), (2, None), (3, " \n"), (4, "<<<")], "doc_id long, html string")
+    assert sorted((r.doc_id, r.error) for r in errors(df).collect()) == [(2, "the document is empty"), (3, "the document is empty")]

@@ -391,9 +391,42 @@ class Compiler:
             return df, v.exists
         if isinstance(e, Call) and e.name == "text":
             return df, F.col("text") != ""
+        if self.profile == "xpath1" and isinstance(e, Binary) and e.op in _COMPARISONS and is_nodes(e.left) and is_nodes(e.right) and not attributes:
+            if self._local(e.left, False) is None or self._local(e.right, False) is None:
+                return self._compare_sets(df, e)
         df, v = self.value(df, e, attributes)
         return df, F.coalesce(V.as_boolean(v), F.lit(False))
 
+    def _compare_sets(self, df: DataFrame, e: Binary) -> tuple[DataFrame, Column]:
+        """Whether any node on the left compares so with any on the right: a join of equal strings, or the extremes of both."""
+        sides = []
+        for operand, mark in ((e.left, "l"), (e.right, "r")):
+            found = self.related(df, operand)
+            keys = [k for k in ("doc", "o") if k in found.columns]
+            text = F.coalesce("text", F.lit(""))
+            if e.op == "=":
+                sides.append((found.select(*[F.col(k).alias(f"_{mark}{k}") for k in keys], text.alias("_t" + mark)).distinct(), keys))
+            else:
+                v = text if e.op == "!=" else V.parse_number(text)
+                known = v.isNotNull() & (F.lit(True) if e.op == "!=" else ~F.isnan(v))
+                grouped = found.where(known).groupBy(*keys).agg(F.min(v).alias("_min" + mark), F.max(v).alias("_max" + mark))
+                sides.append((grouped.select(*[F.col(k).alias(f"_{mark}{k}") for k in keys], "_min" + mark, "_max" + mark), keys))
+        (left, lk), (right, rk) = sides
+        on = F.col("_ldoc") == F.col("_rdoc")
+        if "o" in lk and "o" in rk:
+            on = on & (F.col("_lo") == F.col("_ro"))
+        holds = {
+            "=": lambda: F.col("_tl") == F.col("_tr"), "!=": lambda: (F.col("_minl") != F.col("_maxr")) | (F.col("_maxl") != F.col("_minr")),
+            "<": lambda: F.col("_minl") < F.col("_maxr"), "<=": lambda: F.col("_minl") <= F.col("_maxr"),
+            ">": lambda: F.col("_maxl") > F.col("_minr"), ">=": lambda: F.col("_maxl") >= F.col("_minr"),
+        }[e.op]()
+        flag, d, o = self.fresh("s"), self.fresh("d"), self.fresh("o")
+        origin = "_lo" if "o" in lk else "_ro" if "o" in rk else None
+        true = left.join(right, on & holds).select(F.col("_ldoc").alias(d), *([F.col(origin).alias(o)] if origin else [])).distinct().withColumn(flag, F.lit(True))
+        at = (F.col("doc") == F.col(d)) & (F.col("pre") == F.col(o)) if origin else F.col("doc") == F.col(d)
+        df = df.join(true, at, "left").drop(d, *([o] if origin else []))
+        return df, F.coalesce(F.col(flag), F.lit(False))
+
     # -- values
 
     def _as_spec(self, e: Expr) -> Expr:
@@ -533,7 +566,7 @@ class Compiler:
         needs_rows = any(isinstance(x, Path) and x.start == "here" and x.steps[0].axis.split("-")[0] in ("following", "preceding", "ancestor") for x in walk(e, False))
         origins = None
         if needs_rows:
-            origins = df.select("doc", "pre", "parent", "sib", "last", "anc", "depth", "kind", "name", "attrs", "attr_order", "text", F.col("pre").alias("o")).dropDuplicates(["doc", "pre"])
+            origins = df.select("doc", "pre", "parent", "sib", "name_pos", "name_cnt", "last", "anc", "depth", "kind", "name", "attrs", "attr_order", "text", F.col("pre").alias("o")).dropDuplicates(["doc", "pre"])
         return self.node_set(e, origins, with_origin=True)[0]
 
     def _keys(self, found: DataFrame, e: Expr, *more: Column) -> tuple[DataFrame, Column]:

@@ -13,7 +13,9 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .api import query, query_many, register_table, shred_documents, slice_source
+from .api import compile_xpath, errors, query, query_many, register_table, shred_documents, slice_source, to_json_documents
+from .functions.values import unescape_entities
+from .version import API_VERSION, is_compatible
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -73,7 +75,7 @@ def chat_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def region_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One per region: nations by key, in them customers by key."""
+    """One per region: nations by key, in them customers by key. (Test markup: such a document grows with its region.)"""
     cust = F.concat(F.lit("<cust"), _attribute("id", F.col("c_custkey")), _attribute("seg", F.col("c_mktsegment")), F.lit("/>"))
     custs = _table(spark, sf_dir, "customer").select("c_nationkey", F.struct(F.col("c_custkey").alias("k"), cust.alias("m")).alias("x"))
     custs = _by_key(custs, "c_nationkey").groupBy("c_nationkey").agg(_joined("x").alias("inner"))
@@ -230,7 +232,6 @@ _orders("xpath_reversed_chain", "//order[2][@status='O']", f"{_RANKED} WHERE r =
 _orders("xpath_position_or_value", "//order[position()=1 or @total<1000]", f"{_RANKED} WHERE r = 1 OR o_totalprice < 1000")
 _orders("xpath_relative_start", "order[@status!='O']", "orders WHERE o_orderstatus <> 'O'")
 _customers("xpath_child_exists", "//customer[order]", "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
-_customers("xpath_child_absent", "//customer[not(order)]", "NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
 _customers("xpath_filtered_child_absent", "//customer[not(order[@status='P'])]", "NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P')")
 _customers("xpath_nested_predicate", "//customer[order[@status='F']]", "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'F')")
 _customers("xpath_count_compare", "//customer[count(order)>10]", "(SELECT count(*) FROM orders WHERE o_custkey = c_custkey) > 10")
@@ -246,6 +247,100 @@ _customers("xpath_wildcard_attribute", "//*[@seg]", "true")
 _customers("xpath_number_boolean", "//customer[number(@nation)=3 or boolean(@missing)]", "c_nationkey = 3")
 
 
+_customers("xpath_node_function", "//customer[node()]", "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_customers("xpath_boolean_of_nodes", "//customer[boolean(order) and true()]", "EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+_customers("xpath_hex_float", "//customer[number('0x1.8p1') = @nation]", "c_nationkey = 3")
+_customers("xpath_byte_length", "//customer[string-length('é')=2 and substring('aé',1,3)='aé' and @seg='BUILDING']", "c_mktsegment = 'BUILDING'")
+_customers("xpath_first_child_value", "//customer[order[2]/@status='F']", f"EXISTS (SELECT 1 FROM {_RANKED} WHERE r = 2 AND o_custkey = c_custkey AND o_orderstatus = 'F')")
+_orders("xpath_any_attribute", "//customer/*[@*]", "orders")
+_orders("xpath_false", "//order[false() or @status='F']", "orders WHERE o_orderstatus = 'F'")
+_orders("xpath_unary_minus", "//order[-@total < -200000]", "orders WHERE o_totalprice > 200000")
+_orders("xpath_not_a_number", "//order[not(number(@pri) = number(@pri)) and @status='P']", "orders WHERE o_orderstatus = 'P'")
+_orders("xpath_namespace_uri", "//order[namespace-uri()='' and local-name()='order']", "orders")
+
+
+def _scalar(name: str, xpath: str, value: str) -> None:
+    """A scalar a customer; ``value`` over columns of customer and ``n``, the number of orders."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(xpath, customer_documents(spark, sf_dir), key="c_custkey", columns=["value"])
+
+    _register(name, run, f"SELECT c_custkey, {value} AS value FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1) ON o_custkey = c_custkey")
+
+
+_scalar("xpath_namespace_axis", "count(//order/namespace::*)", "'0'")
+_scalar("xpath_number_format", "count(//order) + 1 div 4", "CAST(coalesce(n, 0) AS VARCHAR) || '.25'")
+_scalar("xpath_nan_string", "string(number('x'))", "'NaN'")
+
+
+def _customer_markup(spark: SparkSession, sf_dir: str, *parts: str) -> DataFrame:
+    """One document per customer: ``parts`` with its key for each ``{}``."""
+    pieces = [F.lit(p) if p != "{}" else F.col("c_custkey").cast("string") for p in parts]
+    return _table(spark, sf_dir, "customer").select("c_custkey", F.concat(*pieces).alias("html"))
+
+
+def _markup(name: str, parts: tuple[str, ...], xpath: str, columns: str, values: str, **options: object) -> None:
+    """``columns`` of the matches in one such document, which are ``values`` in SQL (``k`` is the key as a string)."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return query(xpath, _customer_markup(spark, sf_dir, *parts), key="c_custkey", columns=columns.split(), **options)
+
+    _register(name, run, f"SELECT c_custkey, {values} FROM (SELECT c_custkey, CAST(c_custkey AS VARCHAR) AS k FROM customer)")
+
+
+_markup("xpath_malformed_tag", ("<c><b =bad><ok n='", "{}", "'>t</ok>"), "/c/ok/@n", "text_content", "k AS text_content")
+_markup("xpath_wrong_closing_tag", ("<c><b>x", "{}", "</i>y</b></c>"), "//b", "text_content", "'x' || k || '</i>y' AS text_content")
+_markup("xpath_unclosed_to_the_end", ("<c><b>x<i>", "{}"), "/c/b/i", "text_content end_location", "k AS text_content, CAST(10 + strlen(k) AS INTEGER) AS end_location")
+_markup("xpath_attribute_quotes", ("<c a='1' b=\"", "{}", "\" d=e f a=2 />"), "/c[@a='2' and @d='e' and @f='']/@b", "text_content", "k AS text_content")
+_markup("xpath_processing_instruction", ("<c><?p ", "{}", "?><?q z?></c>"), "//processing-instruction('p')", "node_type text_content", "CAST(7 AS INTEGER) AS node_type, 'p ' || k AS text_content")
+_markup("xpath_prefixed_name", ("<m:c><m:d>", "{}", "</m:d></m:c>"), "//m:c/m:d[local-name()='d' and name()='m:d']", "text_content", "k AS text_content")
+_markup("xpath_without_locations", ("<c>", "{}", "</c>"), "//c", "ord text_content start_location", "CAST(1 AS INTEGER) AS ord, k AS text_content", include_location=False)
+
+
+def _json_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = customer_documents(spark, sf_dir)
+    return to_json_documents(query("//order[1]/@id", docs, key="c_custkey", columns=["ord", "text_content"]), key="c_custkey", docs=docs)
+
+
+_register(
+    "json_documents", _json_documents,
+    "SELECT c_custkey, CASE WHEN o_orderkey IS NULL THEN '{\"results\":[],\"count\":0,\"error\":null}' ELSE "
+    "'{\"results\":[{\"ord\":1,\"text_content\":\"' || CAST(o_orderkey AS VARCHAR) || '\"}],\"count\":1,\"error\":null}' END AS json "
+    f"FROM customer LEFT JOIN (SELECT * FROM {_RANKED} WHERE r = 1) ON o_custkey = c_custkey",
+)
+
+
+def _document_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "customer").select("c_custkey", F.when(F.col("c_nationkey") == 3, " \n").when(F.col("c_nationkey") > 3, "<<c").alias("html"))
+    return errors(docs, key="c_custkey")
+
+
+_register("document_errors", _document_errors, "SELECT c_custkey, 'the document is empty' AS error FROM customer WHERE c_nationkey <= 3")
+
+_CHECKED = {"//a[1]": True, "//a[": False, "//a]": False, "a b": False, "$x": False, "sideways::a": False, "frobnicate(1)": False, "count()": False, "//a[@b='c]": False, "": False}
+
+
+def _syntax(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def valid(expression: str) -> bool:
+        try:
+            compile_xpath(expression)
+        except ValueError:
+            return False
+        return True
+
+    return spark.createDataFrame([(x, valid(x), compile_xpath(x).expression if valid(x) else None) for x in _CHECKED], "expression string, valid boolean, compiled string")
+
+
+_register("xpath_syntax_check", _syntax, "SELECT * FROM (VALUES " + ", ".join(f"('{x.replace(chr(39), chr(39) * 2)}', {str(v).lower()}, {chr(39) + x + chr(39) if v else 'NULL'})" for x, v in _CHECKED.items()) + ") AS t(expression, valid, compiled)")
+
+
+def _versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame([(API_VERSION, is_compatible("0.1"), is_compatible("1.0"))], "api_version string, same boolean, later boolean")
+
+
+_register("library_version", _versions, "SELECT '1' AS api_version, true AS same, false AS later")
+
+
 def _unpivoted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query("//order[1]/@*", customer_documents(spark, sf_dir), key="c_custkey", columns=["node_name", "text_content"])
 
@@ -285,6 +380,9 @@ _events(
 )
 _events("xpath_sibling_predicate", "//event[following-sibling::event]", f"SELECT user_id, event_id FROM {_EV} WHERE r < n")
 _events("xpath_sibling_absent", "//event[not(preceding-sibling::event[@type='error'])]", "SELECT user_id, event_id FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.user_id = e.user_id AND s.event_type = 'error' AND s.event_id < e.event_id)")
+_events("xpath_next_type", "//event[following-sibling::event[1]/@type='error']", f"SELECT user_id, event_id FROM (SELECT *, lead(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS next FROM events) WHERE next = 'error'")
+_events("xpath_second_error_after", "//event[@type='signup']/following-sibling::event[@type='error'][2]", "SELECT DISTINCT user_id, e.event_id FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS r FROM events WHERE event_type = 'error') e JOIN (SELECT user_id, (SELECT count(*) FROM events x WHERE x.user_id = s.user_id AND x.event_type = 'error' AND x.event_id < s.event_id) AS b FROM events s WHERE event_type = 'signup') USING (user_id) WHERE r = b + 2")
+_events("xpath_errors_before", "//event[count(preceding-sibling::event[@type='error'])=1]", "SELECT user_id, event_id FROM events e WHERE (SELECT count(*) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'error' AND x.event_id < e.event_id) = 1")
 _events("xpath_third_overall", "(//event)[3]", f"SELECT user_id, event_id FROM {_EV} WHERE r = 3")
 _events("xpath_sibling_count", "//event[count(preceding-sibling::event)=4]", f"SELECT user_id, event_id FROM {_EV} WHERE r = 5")
 _ids("xpath_parent_distinct", user_documents, "user_id", "user_id", "//event[@type='error']/parent::user", "SELECT DISTINCT user_id FROM events WHERE event_type = 'error'")
@@ -308,6 +406,17 @@ def _text_step(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("xpath_text_step", _text_step, "SELECT conv_id, replace(text, '<', '&lt;') AS text_content FROM conversations WHERE text <> ''")
 
 
+def _unescaped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _text_step(spark, sf_dir).select("conv_id", unescape_entities(F.col("text_content")).alias("text"))
+
+
+_register(
+    "entities_decoded", _unescaped,
+    "SELECT conv_id, replace(replace(replace(replace(replace(replace(replace(text, '<', '&lt;'), '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&apos;', chr(39)), '&nbsp;', chr(160)), '&amp;', '&') AS text "
+    "FROM conversations WHERE text <> ''",
+)
+
+
 def _with_system(spark: SparkSession, sf_dir: str) -> DataFrame:
     return query("//turn[@role='system']/..", chat_documents(spark, sf_dir), key="conv_id", columns=["node_name"])
 
@@ -333,4 +442,6 @@ _geo("xpath_following", "//nation[1]/following::nation", "SELECT r_regionkey, id
 _geo("xpath_preceding", "//nation[last()]/preceding::nation", "SELECT r_regionkey, id FROM (SELECT n_regionkey AS r_regionkey, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey DESC) AS r FROM nation) WHERE r > 1")
 _geo("xpath_descendant_count", "//nation[count(.//cust[@seg='BUILDING'])>10]", f"SELECT r_regionkey, n_nationkey AS id FROM {_GEO} WHERE c_mktsegment = 'BUILDING' GROUP BY 1, 2 HAVING count(*) > 10")
 _geo("xpath_mid_descendants", "/region//cust[@seg='MACHINERY']", f"SELECT r_regionkey, c_custkey AS id FROM {_GEO} WHERE c_mktsegment = 'MACHINERY'")
+_geo("xpath_following_exists", "//nation[following::nation]", "SELECT n_regionkey AS r_regionkey, n_nationkey AS id FROM nation n WHERE EXISTS (SELECT 1 FROM nation m WHERE m.n_regionkey = n.n_regionkey AND m.n_nationkey > n.n_nationkey)")
+_geo("xpath_preceding_count", "//nation[count(preceding::nation)=2]", "SELECT r_regionkey, id FROM (SELECT n_regionkey AS r_regionkey, n_nationkey AS id, row_number() OVER (PARTITION BY n_regionkey ORDER BY n_nationkey) AS r FROM nation) WHERE r = 3")
 _geo("xpath_absolute_in_predicate", "//nation[/region[@name='EUROPE']]", "SELECT n_regionkey AS r_regionkey, n_nationkey AS id FROM nation JOIN region ON n_regionkey = r_regionkey WHERE r_name = 'EUROPE'")

@@ -141,3 +141,22 @@ def test_positions_and_siblings_need_no_windows_and_no_joins(tables):
     assert "Window" not in _plan(df, "//u/a[3]") and "Window" not in _plan(df, "//a/following-sibling::a[1]")
     for expression in ("//a[not(preceding-sibling::b[@x='1'])]", "//a[following-sibling::b]", "//a/following-sibling::a[1]"):
         assert _plan(df, expression).count("Join") == 1, expression
+
+
+def test_xpath1_compares_any_nodes_of_two_sets(spark):
+    documents = dict(random_documents(80, seed=7))
+    df = spark.createDataFrame(list(documents.items()), "doc_id long, html string").repartition(2)
+    tests = {"=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<": lambda a, b: float(a) < float(b), ">=": lambda a, b: float(a) >= float(b)}
+    for op, holds in tests.items():
+        got = sorted((r.doc_id, r.start_location) for r in compile_xpath(f"//a[.//b/@x {op} .//c/@x]", "xpath1").evaluate(df, columns=["start_location"]).collect())
+        absolute = sorted((r.doc_id, r.start_location) for r in compile_xpath(f"//a[.//b/@x {op} /c/@x]", "xpath1").evaluate(df, columns=["start_location"]).collect())
+        want, rooted = [], []
+        for i, html in documents.items():
+            n = Naive(html, "xpath1").nodes
+            below = lambda i, name, n=n: [k["attrs"]["x"] for k in n if i < k["pre"] <= n[i]["last"] and k["name"] == name]
+            top = [k["attrs"]["x"] for k in n if k["parent"] == 0 and k["name"] == "c"]
+            for k in n:
+                if k["name"] == "a":
+                    want += [(i, k["start"])] if any(holds(x, y) for x in below(k["pre"], "b") for y in below(k["pre"], "c")) else []
+                    rooted += [(i, k["start"])] if any(holds(x, y) for x in below(k["pre"], "b") for y in top) else []
+        assert got == sorted(want) and absolute == sorted(rooted) and want

@@ -198,7 +198,7 @@ def _open_sets(pairs: DataFrame, confirmed: DataFrame, sets: DataFrame) -> DataF
 
 
 def _exploded(opened: DataFrame) -> DataFrame:
-    """One row per shingle of each set: shingle, class, joined, n (the set's size)."""
+    """One row per shingle of each set: shingle, class, joined."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in (s for b in batches for s in slices(b, 2)):
@@ -207,10 +207,10 @@ def _exploded(opened: DataFrame) -> DataFrame:
             owner = pa.array(np.repeat(np.arange(len(sets)), sizes))
             flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(flat), batch.column(0).take(owner), batch.column(1).take(owner), pa.array(np.repeat(sizes, sizes))], names=["shingle", "class", "joined", "n"]
+                [pa.array(flat), batch.column(0).take(owner), batch.column(1).take(owner)], names=["shingle", "class", "joined"]
             )
 
-    return opened.select("class", "joined", "set").mapInArrow(run, "shingle long, class long, joined long, n long")
+    return opened.select("class", "joined", "set").mapInArrow(run, "shingle long, class long, joined long")
 
 
 def _prefix_groups(opened: DataFrame, percent: int) -> DataFrame:
@@ -218,8 +218,10 @@ def _prefix_groups(opened: DataFrame, percent: int) -> DataFrame:
     rows = _exploded(opened)
     shared = rows.groupBy("shingle").agg(F.count("*").alias("df"), F.min("joined").alias("_low"), F.max("joined").alias("_high")).where("_low <> _high").select("shingle", "df")
     shared = settle(shared, "shared")
-    mine = join_groups(rows.select("shingle", "class", "n"), shared, "shingle", "class", "df")
-    mine = mine.groupBy("class").agg(F.max("n").alias("n"), F.collect_set(F.struct("df", "shingle")).alias("mine"))
+    mine = join_groups(rows.select("shingle", "class"), shared, "shingle", "class", "df")
+    mine = mine.groupBy("class").agg(F.collect_set(F.struct(F.least("df", F.lit(2**31 - 1)).cast("int").alias("df"), "shingle")).alias("mine"))
+    size = opened.groupBy(F.col("class").alias("_class")).agg((F.max(F.octet_length("set")) / 8).cast("long").alias("n"))
+    mine = mine.join(size, F.col("class") == F.col("_class"))
     # what two sets have in common is at least this much of each
     needed = F.ceil(F.col("n") * percent / 100)
     mine = mine.withColumn("_r", (F.size("mine") - needed + 1).cast("int")).where("_r > 0")

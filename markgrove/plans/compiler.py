@@ -179,7 +179,11 @@ class Compiler:
         positional = self._counts(step)
         if attributes:
             return self._step_from_attribute(context, step, carry)
-        found = take_axis(self.scan(self._narrowed(step) if context is None else self._read_by(step, False)), context, step.axis, step.test, carry, positional, self.profile)
+        if context is not None and step.axis in ("attribute", "self", "namespace"):
+            nodes = self._nodes  # the context's own rows answer
+        else:
+            nodes = self.scan(self._narrowed(step) if context is None else self._read_by(step, False))
+        found = take_axis(nodes, context, step.axis, step.test, carry, positional, self.profile)
         df = found.df
         group = ["doc", "c", *(["o"] if carry else [])]
         df = self.predicates(df, step, found.attributes, group, found.backwards)

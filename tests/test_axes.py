@@ -138,6 +138,9 @@ def test_positions_and_siblings_need_no_windows_and_no_joins(tables):
     for expression in ("//a[3]", "//a[last()]", "//a[position()<=3]", "//a[position() mod 2 = 0]", "//a[2][@x='1']", "//a[following-sibling::a]", "//a[count(preceding-sibling::a)=4]", "//a[not(preceding-sibling::a)]"):
         plan = _plan(df, expression)
         assert "Window" not in plan and "Join" not in plan, expression
+    for expression in ("//a//b/@x", "/a/b/c", "//a/b[2]", "//a/b[@x='1']/@x"):
+        plan = _plan(df, expression)
+        assert "Join" not in plan and "Window" not in plan, expression
     assert "Window" not in _plan(df, "//u/a[3]") and "Window" not in _plan(df, "//a/following-sibling::a[1]")
     for expression in ("//a[not(preceding-sibling::b[@x='1'])]", "//a[following-sibling::b]", "//a/following-sibling::a[1]"):
         assert _plan(df, expression).count("Join") == 1, expression

@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 
 from .common import slices
 
-CACHE_LIMIT = 200_000
+CACHE_LIMIT = 400_000
 #: Slices of more characters than this are merged by a heap.
 LONG_PIECE = 400
 #: Bytes of text scanned at a time, about, and code points in one block of the scan.
@@ -212,6 +212,17 @@ def read_vocabulary(path: str) -> tuple[dict[bytes, int], dict[str, int]]:
     return {bytes(unbyte[c] for c in token): i for token, i in spec["model"]["vocab"].items() if token not in special}, special
 
 
+class _Cache(dict):
+    """Packed ids by slice, made when first asked for."""
+
+    def __init__(self, merged):
+        self._merged = merged
+
+    def __missing__(self, piece: str) -> bytes:
+        packed = self[piece] = pack(self._merged(piece))
+        return packed
+
+
 class PairMerger:
     """Ids of pre-tokens by the ranks of byte pairs, packed, in a bounded cache."""
 
@@ -222,7 +233,7 @@ class PairMerger:
         self.tokens = {b: a for a, b in self.ranks.items()} | {i: t.encode() for t, i in self.special.items()}
         self._parts = re.compile(f"({'|'.join(map(re.escape, sorted(self.special, key=len, reverse=True)))})") if self.special else None
         self.classes = LibraryClasses(path) if path.endswith(".json") else None
-        self.cache: dict[str, bytes] = {}
+        self.cache = _Cache(self.merged)
         # the pattern takes a slice whole: the library only merges pairs
         self._merge = tiktoken.Encoding("slices", pat_str=r"(?s:.+)", mergeable_ranks=self.ranks, special_tokens={}).encode_ordinary
 
@@ -252,16 +263,9 @@ class PairMerger:
         return [ranks[p] for p in parts if p is not None]
 
     def packed(self, tokens: list[str]) -> list[bytes]:
-        cache = self.cache
-        if len(cache) > CACHE_LIMIT:
-            cache.clear()
-        try:
-            return [cache[t] for t in tokens]
-        except KeyError:
-            for t in set(tokens):
-                if t not in cache:
-                    cache[t] = pack(self.merged(t))
-            return [cache[t] for t in tokens]
+        if len(self.cache) > CACHE_LIMIT:
+            self.cache.clear()
+        return list(map(self.cache.__getitem__, tokens))
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The packed ids of each text; special strings of the vocabulary are one id each."""

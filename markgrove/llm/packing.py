@@ -33,6 +33,8 @@ CAPACITY = 2048
 END_ID = 0
 #: Pieces of one length that are ranked together, about.
 BLOCK_ROWS = 20_000
+#: Pieces of a length up to this many are one block, and a few times as many a few.
+SMALL_ROWS = 250
 
 
 def cut(length: int, capacity: int = CAPACITY) -> list[tuple[int, int]]:
@@ -151,7 +153,7 @@ def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, key: st
     pieces = settle(tokenised_pieces(docs, path, capacity, key, text), "pieces")
     histogram = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` rows
     first_key, copies, first_sequence, first_offset = _places(plan_sequences(histogram, capacity))
-    blocks = docs.sparkSession.createDataFrame([(n, count // BLOCK_ROWS + 1) for n, count in histogram.items()], "_length long, _blocks long")
+    blocks = docs.sparkSession.createDataFrame([(n, 4 * (count // BLOCK_ROWS) + min(4, count // SMALL_ROWS + 1)) for n, count in histogram.items()], "_length long, _blocks long")
     pieces = pieces.join(F.broadcast(blocks), F.col("length") == F.col("_length")).drop("_length")
     ranked = number_within(pieces, "length", [key, "piece", "ids_crc32", "start"], F.col("_blocks"), "nth")
 

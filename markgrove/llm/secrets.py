@@ -36,7 +36,6 @@ HEX = r"[0-9a-f]{24,}"
 KINDS = ("assign", "access", "hex", "hexclass", "alnum", "token")
 
 CANDIDATE = r"[A-Za-z0-9+/_-]{20,}"
-ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 WINDOW = 20
 #: Bits a character that one window must reach, by class. A window of 20 has 4.32 at most, of hex digits 4.0.
 THRESHOLDS = {"hexclass": 3.1, "alnum": 3.6, "token": 3.7}
@@ -103,11 +102,13 @@ _SPANS = "array<struct<start:int,end:int,rank:int,kind:string>>"
 
 def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
     """The highest Shannon entropy, in bits a character, of any window of ``candidate``."""
-    codes = F.transform(F.split(candidate, ""), lambda c: F.instr(F.lit(ALPHABET), c))
-    size = len(ALPHABET) + 1
     terms = F.array(F.lit(0.0), *[F.lit(c * log2(c)) for c in range(1, window + 1)])
 
-    def slide(seq: Column) -> Column:
+    def coded(chars: Column) -> Column:
+        """A character is its place among the distinct ones, so that the counts are as few as these."""
+        return once(F.array_distinct(chars), lambda names: once(F.transform(chars, lambda c: F.array_position(names, c).cast("int") - 1), lambda seq: slide(seq, F.size(names))))
+
+    def slide(seq: Column, size: Column) -> Column:
         zero = F.struct(F.array_repeat(F.lit(0), size).alias("counts"), F.lit(0.0).alias("total"), F.lit(1e9).alias("least"))
 
         def step(acc: Column, i: Column) -> Column:
@@ -127,14 +128,18 @@ def peak_entropy(candidate: Column, window: int = WINDOW) -> Column:
 
         return F.aggregate(F.sequence(F.lit(0), F.size(seq) - 1), zero, step, lambda acc: F.lit(log2(window)) - acc["least"] / F.lit(float(window)))
 
-    return F.when(F.length(candidate) >= window, once(codes, slide)).otherwise(F.lit(0.0))
+    return F.when(F.length(candidate) >= window, once(F.split(candidate, ""), coded)).otherwise(F.lit(0.0))
 
 
 def reaches(candidate: Column, least: Column) -> Column:
-    """Whether any window of ``candidate`` has ``least`` bits a character. Runs of windows are looked at until one has."""
+    """Whether any window of ``candidate`` has ``least`` bits a character. Runs of windows are looked at until one has.
+
+    Of n distinct characters no window has more than log2(n) bits: runs with too few are passed over.
+    """
     last = F.greatest(F.ceil((F.length(candidate) - WINDOW + 1) / (RUN - WINDOW + 1)) - 1, F.lit(0))
     runs = F.transform(F.sequence(F.lit(0).cast("long"), last), lambda i: F.substring(candidate, (i * (RUN - WINDOW + 1) + 1).cast("int"), F.lit(RUN)))
-    return F.exists(runs, lambda run: peak_entropy(run) >= least)
+    enough = lambda run: F.log2(F.size(F.array_distinct(F.split(run, "")))) >= least - F.lit(1e-9)
+    return F.exists(runs, lambda run: enough(run) & (peak_entropy(run) >= least))
 
 
 def _entropy_spans(text: Column) -> Column:
